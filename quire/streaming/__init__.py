@@ -1,0 +1 @@
+"""quire.streaming"""
