@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import token_store
+from quire.llm import packing, quality, token_store
 from quire.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +24,15 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_token_store"] = op1_token_store
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
+QUERIES |= {"op5_packing": op5_packing, "op9_quality_rules": op9_quality_rules}
+ORACLES |= {"op9_quality_rules": quality.ORACLE}
