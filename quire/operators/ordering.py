@@ -64,7 +64,7 @@ def running_sum(df: DataFrame, keys: list[Column], value: str, out: str = "befor
 
     from pyspark.sql.types import IntegerType, LongType, StructType
 
-    schema = StructType(df.schema.fields).add("__part", IntegerType()).add("__local", LongType()).add("__upto", LongType())
+    schema = StructType(list(df.schema.fields)).add("__part", IntegerType()).add("__local", LongType()).add("__upto", LongType())
     raw = stage(df.repartitionByRange(_partitions(df), *keys).sortWithinPartitions(*keys).mapInArrow(sums, schema), "sums")
     totals = sorted((r["__part"], r["n"]) for r in raw.groupBy("__part").agg(F.max("__upto").alias("n")).collect())
     offsets, before = [], 0
