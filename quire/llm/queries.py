@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import packing, quality, token_store
+from quire.llm import edit_fingerprint, langid, packing, quality, sharding, token_store
 from quire.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +37,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"op5_packing": op5_packing, "op9_quality_rules": op9_quality_rules}
 ORACLES |= {"op9_quality_rules": quality.ORACLE}
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.evaluate(documents(spark, sf_dir))
+
+
+def op8_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.with_neighbours(documents(spark, sf_dir))
+
+
+def op10_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old layout keeps each source in one of 32 shards, so that its sizes are as uneven as the sources."""
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(32))
+    return sharding.digest(documents(spark, sf_dir).select("doc_id", "text", "source"), old)
+
+
+QUERIES |= {"op3_language_id": op3_language_id, "op8_edit_fingerprint": op8_edit_fingerprint, "op10_reshard": op10_reshard}
