@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import edit_fingerprint, langid, packing, quality, sharding, token_store
+from quire.llm import edit_fingerprint, langid, neardup, packing, quality, sharding, token_store
 from quire.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,10 @@ def op10_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_language_id": op3_language_id, "op8_edit_fingerprint": op8_edit_fingerprint, "op10_reshard": op10_reshard}
+
+
+def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), threshold=0.85).drop("digest")
+
+
+QUERIES |= {"op2_minhash_neardup": op2_minhash_neardup}
