@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import edit_fingerprint, langid, neardup, packing, quality, sharding, token_store
+from quire.llm import edit_fingerprint, langid, neardup, packing, quality, sharding, suffix_dedup, token_store
 from quire.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,10 @@ def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_minhash_neardup": op2_minhash_neardup}
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_report(documents(spark, sf_dir))
+
+
+QUERIES |= {"op7_suffix_dedup": op7_suffix_dedup}
