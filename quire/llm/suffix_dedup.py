@@ -166,11 +166,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
 
     level = stage(near.mapInArrow(ranges, "key long, run long, q long, core long, region long"), "ranges")
     cores = level.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
-    regions = level.where("region <> 0").groupBy("region").agg(F.count("*").alias("c")).where("c > 1").select("region", F.lit(True).alias("same"))
-    open_ = stage(level.join(cores, "core").join(regions, "region", "left"), "open")
+    regions = stage(level.where("region <> 0").groupBy("region").agg(F.count("*").alias("c"), F.min(F.struct("key", "run", "q")).alias("one")).where("c > 1").select("region", "one", F.lit(True).alias("same")), "regions")
+    open_ = stage(level.join(cores, "core").join(regions.drop("one"), "region", "left"), "open")
     by_range = open_.where("same").select("key", (place - F.col("q") * RANGE - (RANGE - 1)).alias("start"), (place - F.col("q") * RANGE + window).alias("end"))
 
-    left = open_.where("same is null").groupBy("key", "run").agg(F.collect_set("q").alias("qs"))
+    # One range of each class that is met again stands for it among the single windows.
+    left = open_.where("same is null").select("key", "run", "q").unionByName(regions.select("one.*")).groupBy("key", "run").agg(F.collect_set("q").alias("qs"))
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
