@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import edit_fingerprint, langid, neardup, packing, quality, sharding, suffix_dedup, token_store
+from quire.llm import edit_fingerprint, langid, neardup, packing, pii, quality, sharding, suffix_dedup, token_store
 from quire.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,14 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op7_suffix_dedup": op7_suffix_dedup}
+
+
+#: In production the key comes from a secret store; the queries need the same one at each run.
+PII_KEY = "a key for the registered queries"
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY, "n_entities")
+
+
+QUERIES |= {"op4_pii_surrogates": op4_pii_surrogates}
