@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import edit_fingerprint, langid, neardup, packing, pii, quality, sharding, suffix_dedup, token_store
+from quire.llm import edit_fingerprint, langid, neardup, packing, pii, quality, sentencepiece_stream, sharding, suffix_dedup, token_store
 from quire.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,10 @@ def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op4_pii_surrogates": op4_pii_surrogates}
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_stream.round_trip(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES |= {"op6_sentencepiece": op6_sentencepiece}
