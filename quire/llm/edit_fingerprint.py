@@ -5,9 +5,9 @@ character c and then, by a shared random bit r(j, c), stays or moves on. Two
 texts walk together as long as they agree, and drift back together after an
 edit, so edit distance becomes Hamming distance between what is written. The
 bits repeat with a period of 256 steps; a character met at step j then leaves
-after a wait that is looked up, and so does a whole word: each distinct word's
-waits for all 256 phases are computed once a worker, and a text is walked word
-by word.
+after a wait that is looked up, and so does a run of three: each distinct run's
+waits for all 256 phases are computed once a worker, and a text is walked three
+characters at a time.
 
 A fingerprint keeps the characters written at sampled steps. The steps are those
 with the smallest hashes below three times the length, so texts of like length
@@ -42,8 +42,8 @@ from quire.staging import stage
 
 PERIOD = 256
 SAMPLES = 128
-_CACHE = 60_000
-_WORDS = re.compile(r"\s*\S{1,24}|\s+\Z", re.S)
+_CACHE = 200_000
+_RUNS = re.compile(".{1,3}", re.S)
 
 
 @lru_cache(maxsize=None)
@@ -65,12 +65,17 @@ def _classes(text: str) -> np.ndarray:
     return np.where(c < 128, c, 128 + (c * np.uint32(2654435761) >> np.uint32(25))).astype(np.int64)
 
 
-def _word_steps(word: str) -> list[int]:
-    """For each phase: the steps that the word takes."""
+def _run_steps(classes: list[int]) -> bytes:
+    """For each phase: the steps that a run of three takes; a wait is far below 85."""
     waits, at = _waits(), np.arange(PERIOD)
-    for c in _classes(word):
+    for c in classes:
         at = at + waits[c][at % PERIOD]
-    return (at - np.arange(PERIOD)).tolist()
+    return bytes((at - np.arange(PERIOD)).tolist())
+
+
+@lru_cache(maxsize=1)
+def _wait_rows() -> list[list[int]]:
+    return _waits().tolist()
 
 
 @lru_cache(maxsize=None)
@@ -106,45 +111,44 @@ def steps_of(n: int) -> np.ndarray:
 
 
 class Walker:
-    """Fingerprints of texts; words' steps are kept up to a bound."""
+    """Fingerprints of texts; the runs that are kept are bounded."""
 
     def __init__(self):
-        self._known: dict[str, list[int]] = {}
-
-    def _steps(self, word: str) -> list[int]:
-        got = self._known.get(word)
-        if got is None:
-            if len(self._known) >= _CACHE:
-                self._known.clear()
-            got = self._known[word] = _word_steps(word)
+        self._steps: dict[str, bytes] = {}
+        self._classes: dict[str, list[int]] = {}
+
+    def _learn(self, run: str) -> bytes:
+        if len(self._steps) >= _CACHE:
+            self._steps.clear()
+            self._classes.clear()
+        self._classes[run] = c = _classes(run).tolist()
+        self._steps[run] = got = _run_steps(c)
         return got
 
     def written(self, text: str, steps: np.ndarray) -> np.ndarray:
         """The classes written at the given steps, ascending; 255 after the end."""
-        words = _WORDS.findall(text)
-        known = self._known
-        ends, at = [], 0
-        for w in words:
-            got = known.get(w)
+        runs = _RUNS.findall(text)
+        known, ends, at = self._steps, [], 0
+        for r in runs:
+            got = known.get(r)
             if got is None:
-                got = self._steps(w)
-            at += got[at & (PERIOD - 1)]
+                got = self._learn(r)
+            at += got[at & 255]
             ends.append(at)
-        out = np.full(len(steps), 255, np.uint8)
-        where = np.searchsorted(np.asarray(ends, np.int64), steps, side="right")
-        waits, seen = _waits(), -1
-        for k, w in enumerate(where):
-            if w >= len(words):
+        out, waits = bytearray(b"\xff" * len(steps)), _wait_rows()
+        where = np.searchsorted(np.asarray(ends, np.int64), steps, side="right").tolist()
+        for k, (w, step) in enumerate(zip(where, steps.tolist())):
+            if w >= len(runs):
                 break
-            if w != seen:
-                seen, codes, i, j = w, _classes(words[w]), 0, ends[w - 1] if w else 0
-                leaves = j + int(waits[codes[0], j & (PERIOD - 1)])
-            while leaves <= steps[k]:
+            codes = self._classes.get(runs[w]) or _classes(runs[w]).tolist()
+            i, leaves = 0, ends[w - 1] if w else 0
+            while True:
+                leaves += waits[codes[i]][leaves & 255]
+                if leaves > step:
+                    break
                 i += 1
-                j = leaves
-                leaves = j + int(waits[codes[i], j & (PERIOD - 1)])
             out[k] = codes[i]
-        return out
+        return np.frombuffer(bytes(out), np.uint8)
 
     def fingerprint(self, text: str) -> str:
         return f"{len(text)}:{self.written(text, steps_of(len(text))).tobytes().hex()}"
