@@ -332,3 +332,12 @@ def union_pools(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     both = p.select(F.lit(0).alias("pool"), F.col("p_brand").alias("v")).distinct().unionAll(p.select(F.lit(1), "p_type").distinct())
     return global_index(both, [F.col("pool"), F.col("v")], "id").select("v", "id")
+
+# ---- records: no SQL for the scanner; compared with fixtures in the tests -----------------------------
+
+
+@query("extract_records")
+def extract_records(spark, sf_dir):
+    from quire.operators.markup import extract
+
+    return extract(table(spark, sf_dir, "pages"), "page_id", "url", "html")
