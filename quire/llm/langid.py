@@ -30,27 +30,30 @@ from pyspark.sql import functions as F
 
 FEATURES = 4096
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE = 200_000
+_CACHE = 700_000
 
 
-def word_features(word: str) -> np.ndarray:
-    """Feature numbers of the 1- to 3-letter runs of a word, its ends marked."""
-    w = np.frombuffer(f"\x02{word}\x03".encode("utf-32-le"), "<u4").astype(np.uint64)
-    out = [w[1:-1] * np.uint64(2654435761)]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The 1- to 3-letter runs of words, ends marked: which word each belongs to, and its feature number."""
+    w = np.frombuffer("".join(f"\x02{x}\x03" for x in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    of = np.cumsum(w == 2) - 1
+    letter = np.flatnonzero((w != 2) & (w != 3))
+    where, hashes = [of[letter]], [w[letter] * np.uint64(2654435761)]
     for n in (2, 3):
         if len(w) >= n:
             h = np.full(len(w) - n + 1, np.uint64(n))
             for k in range(n):
                 h = h * np.uint64(0x100000001B3) + w[k : len(w) - n + 1 + k]
-            out.append(h * np.uint64(0x9E3779B97F4A7C15))
-    return (np.concatenate(out) >> np.uint64(17)) % np.uint64(FEATURES)
+            inside = of[: len(h)] == of[n - 1 :]
+            where.append(of[: len(h)][inside])
+            hashes.append(h[inside] * np.uint64(0x9E3779B97F4A7C15))
+    return np.concatenate(where), ((np.concatenate(hashes) >> np.uint64(17)) % np.uint64(FEATURES)).astype(np.int64)
 
 
 def vector(text: str) -> np.ndarray:
-    """The relative frequencies of a text's features, square-rooted and of length 1."""
-    out = np.zeros(FEATURES, np.float32)
-    for word in _LETTERS.findall(text.lower()):
-        np.add.at(out, word_features(word).astype(np.int64), 1)
+    """The relative frequencies of a text's features."""
+    words = _LETTERS.findall(text.lower())
+    out = np.bincount(features(words)[1], minlength=FEATURES).astype(np.float32) if words else np.zeros(FEATURES, np.float32)
     return out / max(1.0, float(out.sum()))
 
 
@@ -160,32 +163,40 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[str, int] = {}
-        table = np.zeros((1024, len(model.bias) + 1 if model else 1), np.float32)
+        width = len(model.bias) if model else 0
+        table = np.zeros((0, width + 1), np.float32)
 
-        def number(word: str) -> int:
+        def learn(words: set[str]) -> None:
+            """Rows of machine outputs for words not met before."""
             nonlocal table
-            k = len(numbers)
-            if k == len(table):
-                table = np.concatenate([table, np.zeros_like(table)])
-            f = word_features(word).astype(np.int64)
-            table[k, :-1] = model.weights[:, f].sum(axis=1)
-            table[k, -1] = len(f)
-            numbers[word] = k
-            return k
-
-        def one(text: str | None) -> tuple[str, float]:
-            words = _LETTERS.findall(text.lower()) if text else []
-            if not words or model is None:
-                return "und", 0.0
             if len(numbers) >= _CACHE:
                 numbers.clear()
-            get = numbers.get
-            k = [i if (i := get(w)) is not None else number(w) for w in words]
-            total = table[np.asarray(k, np.int64)].sum(axis=0, dtype=np.float64)
+                table = table[:0]
+            new = [w for w in words if w not in numbers]
+            if not new:
+                return
+            where, f = features(new)
+            rows = np.empty((len(new), width + 1), np.float32)
+            for m in range(width):
+                rows[:, m] = np.bincount(where, model.weights[m][f], len(new))
+            rows[:, width] = np.bincount(where, minlength=len(new))
+            numbers.update(zip(new, range(len(table), len(table) + len(new))))
+            table = np.concatenate([table, rows])
+
+        def one(words: list[str]) -> tuple[str, float]:
+            if not words or model is None:
+                return "und", 0.0
+            total = table[np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
             return model.decide(total[:-1] / total[-1] + model.bias)
 
         for b in batches:
-            got = [one(t) for t in b.column(at).to_pylist()]
+            got = []
+            texts = b.column(at).to_pylist()
+            for k in range(0, len(texts), 500):
+                found = [_LETTERS.findall(t.lower()) if t else [] for t in texts[k : k + 500]]
+                if model is not None:
+                    learn(set().union(*found))
+                got += map(one, found)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*names, "lang_pred", "score"])
 
     return docs.mapInArrow(predict, StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType()))
