@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-_CACHE = 400_000
+_CACHE = 700_000
 _PAIRS = 1_000_000
 _KEPT = 48
 
