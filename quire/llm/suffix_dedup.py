@@ -9,15 +9,17 @@ with partial sums before any shuffle:
 
 1. An anchor's gram met once: its windows are unique. Most buckets end here.
 2. A run whose whole region (all bytes of its windows) is met again: all repeated.
-3. Ranges of 12 windows: unique if the bytes common to the range are; repeated if
-   the region of the range is met again.
-4. What straddles the edge of a repeat: single windows.
-
-Buckets are never gathered in a task, so a passage that a third of all documents
-share costs no more than others. Memory is one text's, whatever the bucket.
-
-The difference cover that was asked for isn't used: see the README for its figures.
-Equality is that of 64-bit hashes of the bytes, within equal grams.
+3. What is left, with one run of each class of 2 for all of it, is sorted: a block of
+   whole buckets at a time, in the order of bytes, ties beyond the first 32 resolved by
+   the ranks of a difference cover's samples (difference_cover.py). A repeat has an
+   equal neighbour in that order.
+4. Buckets over BUCKET bytes aren't gathered in a task. They are counted instead, in
+   ranges of 12 windows (unique if the bytes common to the range are; repeated if the
+   region of the range is met again), then, at the edges of repeats, in single windows.
+
+So a passage that a third of all documents share costs no more than others. Memory is
+one text's or one block's (BLOCK bytes and one bucket more), whatever the input.
+Steps 1, 2 and 4 hold 64-bit hashes equal where bytes are; step 3 compares bytes.
 
 Defined results. Null text: empty. Shorter than 200 bytes: nothing removed. Rows
 that share doc_id and text are separate documents, and so repeat each other.
@@ -38,11 +40,34 @@ from pyspark.sql import functions as F
 
 from quire.llm.byte_windows import Rolling, anchors
 from quire.llm.common import texts
+from quire.llm.difference_cover import repeated
 from quire.staging import stage
 
 WINDOW = 200
 GRAM = 64
 RANGE = 12
+#: Bytes that are sorted at a time, and the most that one bucket may bring.
+BLOCK = 1 << 19
+BUCKET = 1 << 17
+
+
+def _sorted_block(rows: list[tuple[int, int, bytes]], window: int) -> pa.RecordBatch:
+    """(key, run, bytes) of whole buckets -> (key, start, end) of their windows that are met again."""
+    data = np.frombuffer(b"".join(x for _, _, x in rows), np.uint8)
+    size = np.array([len(x) for _, _, x in rows])
+    base = np.cumsum(size) - size
+    windows = size - window + 1
+    row = np.repeat(np.arange(len(rows)), windows)
+    starts = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows) + base[row]
+    again = np.sort(repeated(data, starts, window))
+    of = np.searchsorted(base, again, "right") - 1
+    key, run = (np.array([r[k] for r in rows], np.int64)[of] for k in (0, 1))
+    first = (run >> 16) - (run >> 8 & 255) + again - base[of]
+    # Neighbouring windows of a run are one span.
+    new = np.concatenate([[True], (of[1:] != of[:-1]) | (again[1:] != again[:-1] + 1)]) if len(of) else np.empty(0, bool)
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(of)) - 1 if len(at) else at
+    return pa.RecordBatch.from_arrays([_long(key[at]), _long(first[at]), _long(first[last] + window)], names=["key", "start", "end"])
 
 
 def _key() -> Column:
@@ -71,7 +96,7 @@ def _runs(text: bytes, window: int, gram: int):
     return place, first, last, g, r.some(first, last + window)
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """(key, spans) of the texts with repeats, spans an array of (start, end) in bytes; and (key, doc_id, packed text) of all."""
     if gram >= window or window - gram > 255:
         raise ValueError("gram must be shorter than window, by at most 255 bytes")
@@ -119,25 +144,53 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
     packed = rows.mapInArrow(pack, "key long, doc_id long, packed binary")
 
     # Of the runs that are neither, and of one run of each class that is met again: the bytes around each.
-    unsettled = mixed.where("not whole").select("key", "run", "gram").unionByName(whole.select("one.key", "one.run", "gram"))
-    edges = unsettled.groupBy("key").agg(F.collect_set(F.struct("run", "gram")).alias("runs"))
+    left = stage(mixed.where("not whole").select("key", "run", "gram").unionByName(whole.select("one.key", "one.run", "gram")), "left")
+    length = F.shiftright("run", 8).bitwiseAND(F.lit(255)) - F.col("run").bitwiseAND(F.lit(255)) + window
+    crowded = stage(left.groupBy("gram").agg(F.sum(length).alias("n")).where(F.col("n") > bucket).select("gram", F.lit(True).alias("crowded")), "crowded")
+    unsettled = left.join(crowded, "gram", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    edges = unsettled.groupBy("key").agg(F.collect_set(F.struct("run", "gram", "crowded")).alias("runs"))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         z = zstandard.ZstdDecompressor()
         for b in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for key, data, runs_ in zip(*(b.column(k).to_pylist() for k in ("key", "packed", "runs"))):
                 text = z.decompress(data)
                 for r in runs_:
                     run = r["run"]
                     at = run >> 16
-                    for column, x in zip(out, (key, run, r["gram"], text[at - (run >> 8 & 255) : at - (run & 255) + window])):
+                    for column, x in zip(out, (key, run, r["gram"], r["crowded"], text[at - (run >> 8 & 255) : at - (run & 255) + window])):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], names=["key", "run", "gram", "bytes"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.binary())], names=["key", "run", "gram", "crowded", "bytes"])
+
+    around_all = stage(packed.join(edges, "key").select("key", "packed", "runs").mapInArrow(around, "key long, run long, gram long, crowded boolean, bytes binary"), "edges")
+
+    def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows_, size, gram_ = [], 0, None
+        for b in batches:
+            for key, run, g, data in zip(*(c.to_pylist() for c in b.columns)):
+                if g != gram_ and size >= BLOCK:
+                    yield _sorted_block(rows_, window)
+                    rows_, size = [], 0
+                rows_.append((key, run, data))
+                size, gram_ = size + len(data), g
+        if rows_:
+            yield _sorted_block(rows_, window)
+
+    buckets = around_all.where("not crowded").select("key", "run", "gram", "bytes").repartition("gram").sortWithinPartitions("gram")
+    by_order = buckets.mapInArrow(sort_buckets, "key long, start long, end long")
+    certain = certain.unionByName(by_order.select("key", F.col("start").cast(certain.schema["start"].dataType).alias("start"), F.col("end").cast(certain.schema["end"].dataType).alias("end")))
+    if not crowded.isEmpty():
+        certain = certain.unionByName(_counted(around_all.where("crowded").select("key", "run", "gram", "bytes"), window))
+    spans = certain.groupBy("key").agg(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("spans"))
+    return spans, packed
 
-    near = stage(packed.join(edges, "key").select("key", "packed", "runs").mapInArrow(around, "key long, run long, gram long, bytes binary"), "edges")
+
+def _counted(near: DataFrame, window: int) -> DataFrame:
+    """(key, start, end) of the repeats in crowded buckets, by counts alone: nothing of a bucket is gathered."""
+    place = F.shiftright("run", 16)
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,8 +244,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
     twice = one.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash")
     by_window = one.join(twice, "hash").select("key", "start", (F.col("start") + window).alias("end"))
 
-    spans = certain.unionByName(by_range).unionByName(by_window).groupBy("key").agg(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("spans"))
-    return spans, packed
+    return by_range.unionByName(by_window)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -214,8 +266,8 @@ def _rest(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def _resolved(docs: DataFrame, row: Callable[[bytes, list], tuple], types: list[tuple[str, pa.DataType, str]], window: int, gram: int) -> DataFrame:
-    spans, packed = repeated_spans(docs, window, gram)
+def _resolved(docs: DataFrame, row: Callable[[bytes, list], tuple], types: list[tuple[str, pa.DataType, str]], window: int, gram: int, bucket: int) -> DataFrame:
+    spans, packed = repeated_spans(docs, window, gram, bucket)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -230,18 +282,18 @@ def _resolved(docs: DataFrame, row: Callable[[bytes, list], tuple], types: list[
     return joined.mapInArrow(finish, "key long, doc_id long, " + ", ".join(f"{n} {sql}" for n, _, sql in types))
 
 
-def dedup_report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dedup_report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def row(text: bytes, spans: list) -> tuple:
         return len(text), sum(z - a for a, z in spans), len(spans), hashlib.sha256(_rest(text, spans)).hexdigest()
 
-    return _resolved(docs, row, [("n_bytes", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")], window, gram).drop("key")
+    return _resolved(docs, row, [("n_bytes", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")], window, gram, bucket).drop("key")
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
     """docs with what is left of each text; a null text stays null. Columns and their order are those of docs."""
-    left = _resolved(docs, lambda t, s: (_rest(t, s).decode(errors="ignore") if s else t.decode(),), [("__rest", pa.string(), "string")], window, gram)
+    left = _resolved(docs, lambda t, s: (_rest(t, s).decode(errors="ignore") if s else t.decode(),), [("__rest", pa.string(), "string")], window, gram, bucket)
     left = left.select(F.col("key").alias("__key"), "__rest").dropDuplicates(["__key"])
     others = docs.select(*[c for c in docs.columns if c != "text"], F.col("text").isNull().alias("__null"), _key().alias("__key"))
     return others.join(left, "__key").withColumn("text", F.when(~F.col("__null"), F.col("__rest"))).select(*docs.columns)

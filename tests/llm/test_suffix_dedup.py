@@ -3,7 +3,7 @@ import random
 from collections import Counter
 
 from quire.llm.common import documents
-from quire.llm.suffix_dedup import dedup_report, without_repeats
+from quire.llm.suffix_dedup import BUCKET, dedup_report, without_repeats
 
 
 def marks(rows, window):
@@ -44,11 +44,12 @@ def corpus(seed):
 
 
 def test_against_brute_force(spark):
-    for seed in (1, 2):
+    """Every bucket sorted, every bucket counted, and some of each."""
+    for seed, bucket in ((1, BUCKET), (2, 0), (3, 300)):
         rows = corpus(seed)
         df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, key string")
-        assert sorted(map(tuple, dedup_report(df, 40, 16).collect()), key=str) == brute(rows, 40)
-        left = without_repeats(df, 40, 16)
+        assert sorted(map(tuple, dedup_report(df, 40, 16, bucket).collect()), key=str) == brute(rows, 40)
+        left = without_repeats(df, 40, 16, bucket)
         assert left.columns == df.columns
         want = Counter((d, None if t is None else bytes(x for x, h in zip(b, hit) if not h).decode(errors="ignore")) for (d, t), (b, hit) in zip(rows, marks(rows, 40)))
         assert Counter((r.doc_id, r.text) for r in left.collect()) == want
