@@ -333,6 +333,90 @@ def union_pools(spark, sf_dir):
     both = p.select(F.lit(0).alias("pool"), F.col("p_brand").alias("v")).distinct().unionAll(p.select(F.lit(1), "p_type").distinct())
     return global_index(both, [F.col("pool"), F.col("v")], "id").select("v", "id")
 
+# ---- the verified export ---------------------------------------------------------------------------
+
+_MARKED = """SELECT page_id, concat(CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '<?xml version="1.0"?>' WHEN 2 THEN concat('<?xml-stylesheet href="a"?> <?keep ', page_id, '?>')
+WHEN 3 THEN '<?XML version="1.1"?><?one?>  <?two?>' ELSE '<?open ' END, html) AS x FROM """
+_PIS = r"""SELECT page_id, x, regexp_extract(x, '^[ \t\r\n]*(<\?(?:[^?]|\?[^>])*\?>[ \t\r\n]*)*', 0) AS prologue FROM m"""
+_NORMAL = rf"""WITH m AS ({_MARKED}pages), p AS ({_PIS}), k AS (SELECT page_id, x, prologue,
+list_filter(regexp_extract_all(prologue, '<\?(?:[^?]|\?[^>])*\?>'), lambda i: NOT regexp_matches(i, '^(?i)<\?(xml|xml-stylesheet)[ ?]')) AS kept FROM p)
+SELECT page_id, len(kept) AS kept, md5('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || coalesce(array_to_string(list_transform(kept, lambda i: i || chr(10)), ''), '') || substr(x, length(prologue) + 1)) AS digest FROM k"""
+
+
+def _marked(spark, sf_dir):
+    return spark.sql(_MARKED + "{pages}", pages=table(spark, sf_dir, "pages"))
+
+
+@query("export_normalize", _NORMAL)
+def export_normalize(spark, sf_dir):
+    from quire.operators import export as E
+
+    out = _marked(spark, sf_dir).withColumn("y", E.normalized("x"))
+    return out.select("page_id", (F.size(E.instructions("y")) - 1).cast("long").alias("kept"), F.md5(F.col("y").cast("binary")).alias("digest"))
+
+
+@query("export_distortions", """SELECT CASE page_id % 4 WHEN 1 THEN 'body differs' WHEN 2 THEN 'no declaration' WHEN 3 THEN 'instruction invented' END AS error, count(*) AS n FROM pages GROUP BY 1""")
+def export_distortions(spark, sf_dir):
+    """The proof against outputs that are right (one in four) or wrong in a known way."""
+    from quire.operators import export as E
+
+    kind, y = F.col("page_id") % 4, E.normalized("x")
+    wrong = F.when(kind == 1, F.concat(y, F.lit("!"))).when(kind == 2, E.body("x")).when(kind == 3, F.replace(y, F.lit(E.DECLARATION), F.lit(E.DECLARATION + "<?new?>"))).otherwise(y)
+    return _marked(spark, sf_dir).select(E.distortion("x", wrong).alias("error")).groupBy("error").agg(F.count("*").alias("n"))
+
+
+_PLACED = """WITH r AS (SELECT p_partkey, p_brand, p_name, 'a/' || p_type || '/' || p_partkey AS source, p_brand || '/' || p_name || '.xml' AS path FROM part)
+SELECT p_partkey, source, CASE WHEN row_number() OVER (PARTITION BY path ORDER BY p_partkey) = 1 THEN path ELSE p_brand || '/' || p_name || ' (' || split_part(source, '/', 2) || ').xml' END AS relative FROM r"""
+
+
+def _placed(spark, sf_dir):
+    from quire.operators import export as E
+
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", F.concat(F.lit("a/"), "p_type", F.lit("/"), "p_partkey").alias("source"))
+    return E.place(parts, "p_brand", "p_name", "source", "p_partkey")
+
+
+@query("export_place", f"SELECT p_partkey, relative, replace(relative, '.xml', '.pdf') AS pdf FROM ({_PLACED})")
+def export_place(spark, sf_dir):
+    return _placed(spark, sf_dir).select("p_partkey", "relative", "pdf")
+
+
+@query("export_collisions", f"SELECT relative, count(*) AS n, min(source) AS first FROM ({_PLACED}) GROUP BY relative HAVING count(*) > 1")
+def export_collisions(spark, sf_dir):
+    from quire.operators import export as E
+
+    return E.collisions(_placed(spark, sf_dir), "source")
+
+
+@query("export_manifest", f"SELECT relative, '{{\"file\":\"' || relative || '\",\"source\":\"' || source || '\"}}' AS line FROM ({_PLACED})")
+def export_manifest(spark, sf_dir):
+    from quire.operators import export as E
+
+    return E.manifest(_placed(spark, sf_dir), "source")
+
+
+@query("export_violations", f"""WITH p AS (SELECT * FROM ({_PLACED})), d AS (SELECT relative FROM p WHERE p_partkey % 50 <> 0 UNION ALL SELECT 'x/' || p_partkey FROM p WHERE p_partkey % 70 = 0)
+SELECT 'disk' AS missing_in, relative FROM (SELECT DISTINCT relative FROM p EXCEPT SELECT relative FROM d) UNION ALL SELECT 'placed of disk', relative FROM (SELECT DISTINCT relative FROM d EXCEPT SELECT relative FROM p)""")
+def export_violations(spark, sf_dir):
+    """A listing of the disk that lacks files and has strange ones, against the places."""
+    from quire.operators import export as E
+
+    placed = _placed(spark, sf_dir)
+    disk = placed.where("p_partkey % 50 <> 0").select("relative").unionByName(placed.where("p_partkey % 70 = 0").select(F.concat(F.lit("x/"), "p_partkey").alias("relative")))
+    return E.violations({"placed": placed, "disk": disk})
+
+
+@query("href_resolve", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_brand || '/' || p_name || '.xml' WHEN 1 THEN 'a+b/%zz ' || p_partkey END AS path FROM part""")
+def href_resolve(spark, sf_dir):
+    """Links that were encoded, odd ones, and those that would leave the package: the last lead nowhere."""
+    from quire.operators import export as E
+
+    p, kind = table(spark, sf_dir, "part"), F.col("p_partkey") % 4
+    good = T.href(F.concat("p_brand", F.lit("/"), "p_name", F.lit(".xml")))
+    link = F.when(kind == 0, good).when(kind == 1, F.concat(F.lit("./a+b/%zz%20"), "p_partkey")).when(kind == 2, F.concat(F.lit("./%2e%2E/"), "p_partkey")).otherwise(F.concat(F.lit("/"), "p_name"))
+    return p.select("p_partkey", E.resolve(link).alias("path"))
+
+
 # ---- records: no SQL for the scanner; compared with fixtures in the tests -----------------------------
 
 
