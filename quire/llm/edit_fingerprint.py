@@ -15,10 +15,14 @@ sample mostly the same steps. It reads "<code points>:<a byte a step, in hex>",
 steps ascending. Likeness is the share of equal bytes over the steps that the
 longer walk would sample; steps beyond a text's end are unequal.
 
-Near pairs: fingerprints are cut into bands of sampled steps that hold at any
-length within a class, texts that share a band are compared by likeness and then
-by their edit distance. Bands shared by more than `crowd` texts are narrowed with
-the next band, until only equal fingerprints are left.
+Near pairs: bands of sampled steps are taken at the text's start and from walks
+that start anew at places chosen by content over the whole text, the grams with
+the least hashes; so an edit anywhere leaves the bands elsewhere as they are, at
+any length. Short texts are keyed by all their grams, as long as a near pair must
+share one. Bands hold within a length class; a text is banded in its own and in
+those of a shorter partner. Texts that share a band are compared by their edit
+distance. Bands shared by more than `crowd` texts are narrowed with the next band,
+until only equal fingerprints are left.
 
 Defined results. Null text: empty; its fingerprint is "0:" and its likeness to
 another empty one 1, to any other 0. Ties in doc_id are ordered by text. A single
@@ -30,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import mixed
 from quire.staging import stage
 
 PERIOD = 256
@@ -278,11 +284,77 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return most + 1
 
 
+_GRAM, _WINDOW, _SHORT = 6, 32, 128
+
+
+@lru_cache(maxsize=1)
+def _class_starts() -> list[int]:
+    """Least length of each class: each integer at first, then steps of a fifth."""
+    out = [1, 2, 3, 4, 5]
+    while out[-1] < 1 << 40:
+        out.append(out[-1] * 6 // 5)
+    return out
+
+
+def classes_of(n: int, share: float) -> list[int]:
+    """The length classes in which a text of n code points is banded: its own and those of a shorter near partner.
+
+    A partner has n (1 - share) code points or more, so two near texts are both banded in the shorter one's class.
+    """
+    own = bisect_right(_class_starts(), n) - 1
+    low = own
+    while low and n * (1 - share) < _class_starts()[low]:
+        low -= 1
+    return list(range(low, own + 1))
+
+
+def places_of(text: str, n: int) -> list[int]:
+    """n places in the text, each that of the gram with the least of one of n hashes: equal grams, equal choice."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = min(_GRAM, len(c))
+    h = np.zeros(len(c) - size + 1, np.uint64)
+    for k in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + c[k : len(c) - size + 1 + k]
+    salts = np.random.default_rng(20_012).integers(0, 1 << 64, n, dtype=np.uint64)
+    return [int(mixed(h ^ x).argmin()) for x in salts]
+
+
+def bands_of(w: Walker, text: str, bands: int, width: int) -> list[np.ndarray]:
+    """The bytes of 2 * bands bands: at the start of the text, then from `bands` places over all of it."""
+    anchors = steps_of(64)[:: max(1, len(steps_of(64)) // (bands * width))][: bands * width]
+    steps = np.arange(width) * max(_WINDOW, width) // width
+    start = w.written(text, anchors)
+    return [*(start[k * width : (k + 1) * width] for k in range(bands)), *(w.written(text[p : p + max(_WINDOW, width)], steps) for p in places_of(text, bands))]
+
+
+@lru_cache(maxsize=None)
+def unedited(c: int, share: float) -> int:
+    """The longest run that any near pair of class c has in common at least: d edits leave d + 1 runs; 0 if no pair can be near."""
+    starts = _class_starts()
+    ns = range(starts[c], int((starts[c + 1] - 1) / (1 - share)) + 2)
+    return min((-((d - n) // (d + 1)) for n in ns if (d := int(share * n))), default=0)
+
+
+def keys_of(w: Walker, text: str, share: float, bands: int, width: int) -> list[tuple[str, str | None]]:
+    """What a text is found by, each with its continuation, if it has one."""
+    out, got = [], None
+    for c in classes_of(len(text), share):
+        if _class_starts()[c] < _SHORT:
+            if size := unedited(c, share):
+                out += [(f"{c}::{g}", None) for g in {text[i : i + size] for i in range(len(text) - size + 1)}]
+            continue
+        got = got or [x.tobytes().hex() for x in bands_of(w, text, bands, width)]
+        out += [(f"{c}:{k}:{x}", "".join(got[(k + i) % len(got)] for i in range(3))) for k, x in enumerate(got)]
+    return out
+
+
 def near_pairs(docs: DataFrame, share: float = 0.1, bands: int = 16, width: int = 4, crowd: int = 1000) -> DataFrame:
     """Pairs of distinct texts within `share` edits of the longer one's length: (a, b, distance), a < b by doc_id.
 
-    Bands are `width` of the steps with least hashes, the same for all texts of 64 code points and
-    more; shorter texts are banded on all their steps' written bytes. Equal texts are one class,
+    A pair is compared if it shares one of 2 * `bands` bands of `width` steps: half lie at the texts'
+    starts, half at places chosen by content over the whole texts. That is a drawing, so a pair can be
+    missed, with edits all over it most likely (README has measured shares); pairs of texts below 128
+    code points share a gram and none is missed. `share` is below 1. Equal texts are one class,
     represented by the least doc_id. A band that more than `crowd` classes share is joined with the
     following band's bytes, which splits it without losing equal fingerprints; what is still crowded
     is compared all the same.
@@ -291,16 +363,13 @@ def near_pairs(docs: DataFrame, share: float = 0.1, bands: int = 16, width: int
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Walker()
-        anchors = steps_of(64)[:: max(1, len(steps_of(64)) // (bands * width))][: bands * width]
         for b in batches:
             ids, keys, wides = [], [], []
             for doc_id, text in zip(*(c.to_pylist() for c in b.columns)):
-                got = w.written(text, anchors)
-                for k in range(bands):
-                    part = got[k * width : (k + 1) * width]
+                for key, wide in keys_of(w, text, share, bands, width):
                     ids.append(doc_id)
-                    keys.append(f"{k}:{part.tobytes().hex()}")
-                    wides.append(np.roll(got, -k * width)[: 3 * width].tobytes().hex())
+                    keys.append(key)
+                    wides.append(wide)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(wides, pa.string())], names=["doc_id", "band", "wide"])
 
     keyed = stage(classes.select("doc_id", "text").mapInArrow(banded, "doc_id long, band string, wide string"), "bands")

@@ -84,3 +84,36 @@ def test_near_pairs(spark):
     rows = [(1, base), (2, near), (3, base), (4, prose(rng, 80)), (5, None), (6, "")]
     got = near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [tuple(r) for r in got] == [(1, 2, 1)]
+
+
+def changed(rng, text, n, lo, hi):
+    """text after n edits between the shares lo and hi of its length."""
+    t = list(text)
+    for _ in range(n):
+        i = rng.randrange(int(len(t) * lo), int(len(t) * hi))
+        t[i : i + 1] = rng.choice(([], [rng.choice("etaoinshrd ")], [t[i], rng.choice("etaoinshrd ")]))
+    return "".join(t)
+
+
+def brute_pairs(rows, share):
+    out = set()
+    for i, (a, x) in enumerate(rows):
+        for b, y in rows[i + 1 :]:
+            most = int(share * max(len(x), len(y)))
+            if x != y and (d := edit_distance(x, y, most)) <= most:
+                out.add((a, b, d))
+    return out
+
+
+def test_near_pairs_wherever_the_edits_lie(spark):
+    rng = random.Random(13)
+    texts = []
+    for words in (2, 3, 6, 15, 40, 100, 400, 2000):
+        base = prose(rng, words)
+        n = max(1, len(base) // 100)
+        texts += [base, *(changed(rng, base, n, lo, hi) for lo, hi in ((0, 0.02 + 1 / len(base)), (0.45, 0.55), (0.9, 1)))]
+    texts += ["header " * 20 + prose(rng, 40) for _ in range(2)]
+    rows = list(enumerate(dict.fromkeys(texts)))
+    want = brute_pairs(rows, 0.1)
+    assert len(want) > 35
+    assert {tuple(r) for r in near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
