@@ -21,8 +21,9 @@ the least hashes; so an edit anywhere leaves the bands elsewhere as they are, at
 any length. Short texts are keyed by all their grams, as long as a near pair must
 share one. Bands hold within a length class; a text is banded in its own and in
 those of a shorter partner. Texts that share a band are compared by their edit
-distance. Bands shared by more than `crowd` texts are narrowed with the next band,
-until only equal fingerprints are left.
+distance, whatever the number of texts in it: those that more than `crowd` texts
+share are dealt in cells, where a bound on the edit distance from counts of grams,
+which no near pair fails, rules pairs out before they become rows.
 
 Defined results. Null text: empty; its fingerprint is "0:" and its likeness to
 another empty one 1, to any other 0. Ties in doc_id are ordered by text. A single
@@ -33,6 +34,7 @@ are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -285,6 +287,7 @@ def edit_distance(a: str, b: str, most: int) -> int:
 
 
 _GRAM, _WINDOW, _SHORT = 6, 32, 128
+_COUNTED, _BINS, _ROWS = 4, 4096, 512
 
 
 @lru_cache(maxsize=1)
@@ -335,16 +338,61 @@ def unedited(c: int, share: float) -> int:
     return min((-((d - n) // (d + 1)) for n in ns if (d := int(share * n))), default=0)
 
 
-def keys_of(w: Walker, text: str, share: float, bands: int, width: int) -> list[tuple[str, str | None]]:
-    """What a text is found by, each with its continuation, if it has one."""
+def keys_of(w: Walker, text: str, share: float, bands: int, width: int) -> list[str]:
+    """What a text is found by."""
     out, got = [], None
     for c in classes_of(len(text), share):
         if _class_starts()[c] < _SHORT:
             if size := unedited(c, share):
-                out += [(f"{c}::{g}", None) for g in {text[i : i + size] for i in range(len(text) - size + 1)}]
+                out += [f"{c}::{g}" for g in {text[i : i + size] for i in range(len(text) - size + 1)}]
             continue
         got = got or [x.tobytes().hex() for x in bands_of(w, text, bands, width)]
-        out += [(f"{c}:{k}:{x}", "".join(got[(k + i) % len(got)] for i in range(3))) for k, x in enumerate(got)]
+        out += [f"{c}:{k}:{x}" for k, x in enumerate(got)]
+    return out
+
+
+def grams(text: str) -> np.ndarray:
+    """A hash of each gram of four code points, in order."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    if len(c) < _COUNTED:
+        return np.empty(0, np.uint64)
+    h = np.zeros(len(c) - _COUNTED + 1, np.uint64)
+    for k in range(_COUNTED):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + c[k : len(c) - _COUNTED + 1 + k]
+    return mixed(h)
+
+
+def counted(text: str) -> np.ndarray:
+    """Grams of the text by bin, at most 255 a bin; an edit changes at most 2 * _COUNTED of the counts by one."""
+    return np.minimum(np.bincount((grams(text) % np.uint64(_BINS)).astype(np.int64), minlength=_BINS), 255).astype(np.uint8)
+
+
+def apart(x: str, y: str, most: int) -> bool:
+    """True only if the texts' counts of grams differ by more than `most` edits can make."""
+    both, at = np.unique(np.concatenate([g := grams(x), h := grams(y)]), return_inverse=True)
+    return int(np.abs(np.bincount(at, np.repeat([1, -1], [len(g), len(h)]), len(both))).sum()) > 2 * _COUNTED * most
+
+
+def close_in_cell(rows: list[tuple], share: float) -> list[tuple[int, int]]:
+    """Pairs of a cell's rows (doc_id, text, level, salt) that are its own and that lengths and counts don't rule out.
+
+    Own: the lower level of the two is the cell's, and their salts are its two.
+    """
+    cell, rows = rows[0][4:], [r[:4] for r in rows]
+    ids, level, salt = (np.array([r[k] for r in rows], np.int64) for k in (0, 2, 3))
+    n = np.array([len(r[1]) for r in rows], np.int64)
+    counts = np.stack([counted(r[1]) for r in rows])
+    low, i, j = cell
+    out = []
+    for k in range(len(rows)):
+        most = (share * np.maximum(n[k], n)).astype(np.int64)
+        ok = (np.minimum(level[k], level) == low) & (ids[k] < ids) & (np.abs(n[k] - n) <= most)
+        ok &= (np.minimum(salt[k], salt) == i) & (np.maximum(salt[k], salt) == j)
+        at = np.flatnonzero(ok)
+        for s in range(0, len(at), _ROWS):
+            part = at[s : s + _ROWS]
+            gap = np.abs(counts[part].astype(np.int16) - counts[k]).sum(1, dtype=np.int64)
+            out += [(int(ids[k]), int(d)) for d in ids[part[gap <= 2 * _COUNTED * most[part]]]]
     return out
 
 
@@ -355,28 +403,50 @@ def near_pairs(docs: DataFrame, share: float = 0.1, bands: int = 16, width: int
     starts, half at places chosen by content over the whole texts. That is a drawing, so a pair can be
     missed, with edits all over it most likely (README has measured shares); pairs of texts below 128
     code points share a gram and none is missed. `share` is below 1. Equal texts are one class,
-    represented by the least doc_id. A band that more than `crowd` classes share is joined with the
-    following band's bytes, which splits it without losing equal fingerprints; what is still crowded
-    is compared all the same.
+    represented by the least doc_id. `crowd` sets how a band's texts are compared, not which: up to it
+    by a join, beyond it in cells of about so many texts by length and salt. A cell costs its pairs in
+    vector operations, so a crowded band's work still grows with the square of the texts of like length.
     """
     classes = docs.where(F.length("text") > 0).groupBy("text").agg(F.min("doc_id").alias("doc_id"))
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Walker()
         for b in batches:
-            ids, keys, wides = [], [], []
+            ids, keys = [], []
             for doc_id, text in zip(*(c.to_pylist() for c in b.columns)):
-                for key, wide in keys_of(w, text, share, bands, width):
-                    ids.append(doc_id)
-                    keys.append(key)
-                    wides.append(wide)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(wides, pa.string())], names=["doc_id", "band", "wide"])
-
-    keyed = stage(classes.select("doc_id", "text").mapInArrow(banded, "doc_id long, band string, wide string"), "bands")
-    sizes = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = keyed.join(sizes, "band").withColumn("band", F.when(F.col("n") > crowd, F.concat_ws(":", "band", "wide")).otherwise(F.col("band")))
-    a, b = keyed.select(F.col("doc_id").alias("a"), "band"), keyed.select(F.col("doc_id").alias("b"), "band")
-    pairs = a.join(b, "band").where("a < b").select("a", "b").distinct()
+                found = keys_of(w, text, share, bands, width)
+                ids += [doc_id] * len(found)
+                keys += found
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], names=["doc_id", "band"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            found = []
+            for band, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (band, *row[4:]) != key:
+                    found += close_in_cell(rows, share) if rows else []
+                    key, rows = (band, *row[4:]), []
+                rows.append(tuple(row))
+            yield pairs_of(found)
+        yield pairs_of(close_in_cell(rows, share) if rows else [])
+
+    def pairs_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else [(), ()])], names=["a", "b"])
+
+    keyed = stage(classes.select("doc_id", "text").mapInArrow(banded, "doc_id long, band string"), "bands")
+    sizes = stage(keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    few, many = keyed.join(sizes.where(F.col("n") <= crowd), "band"), keyed.join(sizes.where(F.col("n") > crowd), "band")
+    a, b = few.select(F.col("doc_id").alias("a"), "band"), few.select(F.col("doc_id").alias("b"), "band")
+    # Near texts lie in the same level of lengths or in the next; the levels are a little wider than that asks for.
+    level = F.floor(F.log(F.length("text")) / F.lit(math.log(1.01 / (1 - share))))
+    placed = many.join(classes, "doc_id").select("band", "doc_id", "text", level.alias("level"), F.ceil(F.col("n") / crowd).alias("salts"))
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
+    cells = placed.withColumn("low", F.explode(F.array(F.col("level") - 1, F.col("level")))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    cells = cells.select("band", "doc_id", "text", "level", "salt", "low", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(parts, "band", "low", "i", "j").sortWithinPartitions("band", "low", "i", "j")
+    pairs = a.join(b, "band").where("a < b").select("a", "b").unionByName(cells.mapInArrow(compare, "a long, b long")).distinct()
     t = classes.select("doc_id", "text")
     both = pairs.join(t.toDF("a", "x"), "a").join(t.toDF("b", "y"), "b")
 
@@ -385,7 +455,7 @@ def near_pairs(docs: DataFrame, share: float = 0.1, bands: int = 16, width: int
             found = []
             for p, q, x, y in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "x", "y"))):
                 most = int(share * max(len(x), len(y)))
-                if (d := edit_distance(x, y, most)) <= most:
+                if not apart(x, y, most) and (d := edit_distance(x, y, most)) <= most:
                     found.append((p, q, d))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else [(), (), ()])], names=["a", "b", "distance"])
 

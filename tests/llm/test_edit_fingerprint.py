@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from quire.llm.edit_fingerprint import PERIOD, SAMPLES, Walker, _classes, _waits, edit_distance, edited, likeness, near_pairs, steps_of, with_neighbours
+from quire.llm.edit_fingerprint import PERIOD, SAMPLES, Walker, _classes, _waits, apart, counted, edit_distance, edited, likeness, near_pairs, steps_of, with_neighbours
 
 
 def slow_walk(text):
@@ -117,3 +117,24 @@ def test_near_pairs_wherever_the_edits_lie(spark):
     want = brute_pairs(rows, 0.1)
     assert len(want) > 35
     assert {tuple(r) for r in near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_crowded_bands_lose_no_pairs(spark):
+    rng = random.Random(17)
+    base = prose(rng, 80)
+    texts = [changed(rng, base, len(base) // 20, 0, 1) for _ in range(40)] + [base[:150] + prose(rng, 50) for _ in range(12)] + [f"short text number {i}" for i in range(40)]
+    rows = list(enumerate(dict.fromkeys(texts)))
+    df, want = spark.createDataFrame(rows, "doc_id long, text string"), brute_pairs(rows, 0.1)
+    assert len(want) > 800
+    for crowd in (2, 7, 1000):
+        assert {tuple(r) for r in near_pairs(df, crowd=crowd).collect()} == want, crowd
+
+
+def test_counts_never_rule_out_a_near_pair():
+    rng = random.Random(19)
+    for _ in range(300):
+        x = prose(rng, rng.randint(4, 60))
+        y = changed(rng, x, rng.randint(1, 8), 0, 1) if rng.random() < 0.9 else prose(rng, 20)
+        d = edit_distance(x, y, 1000)
+        assert not apart(x, y, d) and np.abs(counted(x).astype(int) - counted(y)).sum() <= 8 * d
+    assert apart(prose(rng, 60), prose(rng, 60), 10)
