@@ -5,9 +5,12 @@ row. A character stays in its class (digit, vowel, consonant, accented, Greek,
 Cyrillic, upper or lower case), so script and format hold; it moves by a shift that
 a keyed SHA-256 draws from the entity's kind, length and the characters before it,
 folded to lower case. Given the characters before, a shift is a permutation of the
-class, so the whole map is one-to-one: distinct entities stay distinct and the same
-entity gets the same surrogate everywhere, with no table of them and no shuffle. The
-first character that can move always does, so no entity is its own surrogate.
+class, so that map is one-to-one. Where a kind has two maps, the one for the names of
+the tables or for hexadecimal secrets stays in its own set, and the other is applied
+again until it has left that set, which is one-to-one on the rest. So distinct
+entities of a kind stay distinct and the same entity gets the same surrogate
+everywhere, with no table of them and no shuffle. The kind is that of the alternative
+that matched. The first character that can move does; an entity with none stays.
 `collisions` checks that on a table.
 
 By kind: e-mail keeps its top-level domain; a telephone number its country code; an
@@ -37,20 +40,23 @@ CLASSES = (
     "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя",
 )
 _HEX_LETTERS = "abcdef"
+#: Times that a map is applied at most to leave the other map's set: more than there are names in the tables.
+_ROUNDS = 64
 
 _WORD = r"\p{L}\p{N}._%+\-"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kind and pattern, the first that matches wins.
 KINDS = (
-    ("email", rf"(?<![{_WORD}])[{_WORD}]{{1,64}}+@[\p{{L}}\p{{N}}\-]{{1,63}}(?:\.[\p{{L}}\p{{N}}\-]{{1,63}}){{0,8}}\.\p{{L}}{{2,24}}(?![\p{{L}}\p{{N}}])"),
     ("secret", r'(?<=(?i:token|key|secret|password|passwd)\s{0,3}[=:]\s{0,3}")[^"\s]{8,256}(?=")'),
+    ("email", rf"(?<![{_WORD}])[{_WORD}]{{1,64}}+@[\p{{L}}\p{{N}}\-]{{1,63}}(?:\.[\p{{L}}\p{{N}}\-]{{1,63}}){{0,8}}\.\p{{L}}{{2,24}}(?![\p{{L}}\p{{N}}])"),
     ("phone", r"(?<![\p{L}\p{N}])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<!\d)(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}(?!\d)"),
     ("identity", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("card", r"(?<![\d])(?:(?:\d{4}[ \-]){3}\d{4}|\d{13,19})(?!\d)"),
     ("ip", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"),
     ("person", r"(?<=\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra)\.? )\p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?(?!\p{Ll})"),
 )
-PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
+#: The one capturing group is a secret's, as its own characters don't tell it from others.
+PATTERN = "|".join(f"({p})" if k == "secret" else f"(?:{p})" for k, p in KINDS)
 #: What every text with an entity holds; others are passed by.
 HINT = r"[0-9@\"]|\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra)\b"
 
@@ -90,6 +96,11 @@ def _spelled(text: Column, key: str, kind: str, classes=CLASSES) -> Column:
     return F.array_join(F.transform(F.split(text, "(?!^)(?!$)"), one), "")
 
 
+def _left(value: Column, body, taken) -> Column:
+    """body applied to value, and again while the result is `taken`: one-to-one on values that aren't, if body is on all."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), body(value), lambda x, _: F.when(taken(x), body(x)).otherwise(x))
+
+
 def _octets(ip: Column, key: str) -> Column:
     def one(o: Column, i: Column) -> Column:
         before = F.array_join(F.slice(F.split(ip, r"\."), F.lit(1), i), ".")
@@ -101,7 +112,10 @@ def _octets(ip: Column, key: str) -> Column:
 
 def _name(word: Column, key: str) -> Column:
     """One word of a name."""
-    out = F.concat(_spelled(F.substr(word, F.lit(1), F.length(word) - 1), key, "person"), F.substr(word, F.length(word), F.lit(1)))
+    def spelled(w: Column) -> Column:
+        return F.concat(_spelled(F.substr(w, F.lit(1), F.length(w) - 1), key, "person"), F.substr(w, F.length(w), F.lit(1)))
+
+    out = _left(word, spelled, lambda w: w.isin(*FEMALE, *MALE))
     for table in (FEMALE, MALE):
         names = F.array(*[F.lit(x) for x in table])
         turn = F.pmod(_draw(key, "given", F.lit(table[0])), F.lit(len(table) - 1)) + 1
@@ -110,40 +124,48 @@ def _name(word: Column, key: str) -> Column:
     return out
 
 
-def kind_of(entity: Column) -> Column:
-    """The kind of a found entity, from its own characters."""
+def kind_of(found: Column) -> Column:
+    """The kind of a found entity: secrets by the group that matched, the others from their own characters."""
+    entity = found["entity"]
     return (
-        F.when(F.contains(entity, F.lit("@")), "email")
+        F.when(found["secret"], "secret")
+        .when(F.contains(entity, F.lit("@")), "email")
         .when(entity.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip")
         .when(entity.rlike(r"^\d{3}-\d{2}-\d{4}$"), "identity")
         .when(entity.rlike(r"^(?:(?:\d{4}[ \-]){3}\d{4}|\d{13,19})$"), "card")
-        .when(entity.rlike(r"^\+\d|^\(?\d{3}[.\-)] ?\d{3}[.\-]\d{4}$"), "phone")
-        .when(entity.rlike(r"^\p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?$"), "person")
-        .otherwise("secret")
+        .when(entity.rlike(r"^\p{L}"), "person")
+        .otherwise("phone")
     )
 
 
-def surrogate(entity: Column, key: str) -> Column:
+def surrogate(found: Column, key: str) -> Column:
     """The surrogate of one entity."""
-    kind = kind_of(entity)
+    kind, entity = kind_of(found), found["entity"]
     keep = lambda pattern: F.regexp_extract(entity, pattern, 1)
     rest = lambda pattern: F.regexp_extract(entity, pattern, 2)
     mail, dial = r"^(.*)(\.[^.]+)$", r"^(\+\d{1,3}(?=[ .\-(])|)(.*)$"
     hexed = (CLASSES[0], _HEX_LETTERS)
+    is_hex = lambda x: x.rlike("^[0-9A-Fa-f]+$")
     return (
         F.when(kind == "email", F.concat(_spelled(keep(mail), key, "email"), rest(mail)))
         .when(kind == "phone", F.concat(keep(dial), _spelled(rest(dial), key, "phone")))
         .when(kind == "ip", _octets(entity, key))
         .when(kind == "person", F.array_join(F.transform(F.split(entity, " "), lambda w: _name(w, key)), " "))
-        .when((kind == "secret") & entity.rlike("^[0-9A-Fa-f]+$"), _spelled(entity, key, "secret", hexed))
+        .when((kind == "secret") & is_hex(entity), _spelled(entity, key, "secret", hexed))
+        .when(kind == "secret", _left(entity, lambda x: _spelled(x, key, "number"), is_hex))
         .otherwise(_spelled(entity, key, "number"))
     )
 
 
+_FOUND = "array<struct<entity: string, secret: boolean>>"
+
+
 def entities(text: Column) -> Column:
-    """The entities of a text in their order."""
-    none = F.array().cast("array<string>")
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
+    """The entities of a text in their order, and whether each is a secret."""
+    none = F.array().cast(_FOUND)
+    every, secrets = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(1))
+    found = _let(every, lambda e: F.when(F.size(e) == 0, none).otherwise(F.zip_with(e, secrets, lambda x, y: F.struct(x.alias("entity"), (F.length(y) > 0).alias("secret")))))
+    return F.when(text.rlike(HINT), found).otherwise(none)
 
 
 def surrogates(docs: DataFrame, key: str, count: str | None = None) -> DataFrame:
@@ -156,15 +178,15 @@ def surrogates(docs: DataFrame, key: str, count: str | None = None) -> DataFrame
             F.array_join(F.transform(F.arrays_zip(parts.alias("p"), F.concat(F.transform(found, lambda e: surrogate(e, key)), F.array(F.lit(""))).alias("s")), lambda z: F.concat(z["p"], z["s"])), "")
         )
 
-    made = _let(F.coalesce(entities(t), F.array().cast("array<string>")), lambda f: F.struct(rebuilt(f).alias("text"), F.size(f).cast("long").alias("n")))
+    made = _let(F.coalesce(entities(t), F.array().cast(_FOUND)), lambda f: F.struct(rebuilt(f).alias("text"), F.size(f).cast("long").alias("n")))
     columns = [F.col("__made.text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
     return docs.withColumn("__made", made).select(*columns, *([F.col("__made.n").alias(count)] if count else []))
 
 
 def mapping(docs: DataFrame, key: str) -> DataFrame:
     """Each distinct entity: kind, entity, surrogate, mentions."""
-    found = docs.select(F.explode(entities(F.col("text"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("mentions"))
-    return found.select(kind_of(F.col("entity")).alias("kind"), "entity", surrogate(F.col("entity"), key).alias("surrogate"), "mentions")
+    found = docs.select(F.explode(entities(F.col("text"))).alias("found")).groupBy("found").agg(F.count("*").alias("mentions"))
+    return found.select(kind_of(F.col("found")).alias("kind"), "found.entity", surrogate(F.col("found"), key).alias("surrogate"), "mentions")
 
 
 def collisions(docs: DataFrame, key: str) -> DataFrame:

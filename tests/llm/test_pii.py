@@ -1,9 +1,10 @@
 import hashlib
 
 import regex
+from pyspark.sql import functions as F
 
 from quire.llm.common import documents
-from quire.llm.pii import CLASSES, FEMALE, KINDS, MALE, collisions, surrogates
+from quire.llm.pii import CLASSES, FEMALE, KINDS, MALE, _left, _name, collisions, mapping, surrogates
 
 KEY = "k"
 
@@ -81,3 +82,28 @@ def test_on_documents(spark):
     for r in df.collect():
         assert got[r.doc_id] == brute(r.text)
     assert sum(n for _, n in got.values()) > 50 and collisions(df, KEY).count() == 0
+
+
+def test_secrets_are_their_own_kind(spark):
+    secrets = ["p@ssword1", "hunter@2022", "me@home.example", "4000123412341234", "192.168.100.200"]
+    rows = [(i, f'password = "{x}"') for i, x in enumerate(secrets)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.entity: r for r in mapping(df, KEY).collect()}
+    assert set(got) == set(secrets) and {r.kind for r in got.values()} == {"secret"}
+    assert len({r.surrogate for r in got.values()}) == len(secrets) and all(len(r.surrogate) == len(e) and r.surrogate != e for e, r in got.items())
+    assert not got["me@home.example"].surrogate.endswith("example") and collisions(df, KEY).count() == 0
+
+
+def test_the_two_maps_of_a_kind_do_not_meet(spark):
+    names = [x + y + z + "l" for x in "BCDFGHJKLMNPQRSTVWXYZ" for y in "aeiou" for z in "bcdfghjklmnpqrstvwxyz"]
+    names = list(dict.fromkeys(names + FEMALE + MALE))
+    made = spark.createDataFrame([(x,) for x in names], "w string").select(F.transform(F.array("w"), lambda w: _name(w, KEY))[0].alias("s"))
+    assert len({r.s for r in made.collect()}) == len(names)
+    step = lambda x: (x + 3) % 10
+    out = spark.range(4, 10).select(_left(F.col("id"), step, lambda x: x < 4).alias("y")).collect()
+    assert sorted(r.y for r in out) == [4, 5, 6, 7, 8, 9]
+    nearly = [c + "abcdef0" for c in "bcdfghjklmnpqrstvwxyz"]
+    df = spark.createDataFrame([(i, f'token = "{x}"') for i, x in enumerate(nearly)], "doc_id long, text string")
+    got = {r.entity: r.surrogate for r in mapping(df, KEY).collect()}
+    hexed = [x for x in nearly if x[0] in "bcdf"]
+    assert len(set(got.values())) == len(nearly) and all(bool(regex.fullmatch("[0-9a-f]+", got[x])) == (x in hexed) for x in nearly)
