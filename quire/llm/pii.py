@@ -16,7 +16,8 @@ that matched. The first character that can move does; an entity with none stays.
 By kind: e-mail keeps its top-level domain; a telephone number its country code; an
 IPv4 address moves octet by octet modulo 256; a quoted secret keeps hexadecimal digits
 hexadecimal; card and identity numbers keep their grouping; a name after a title keeps
-the title. A given name from the tables becomes another of the same gender, by a keyed
+the title. The words of such a name become the same wherever else they stand in the
+row, with a title or without. A given name from the tables becomes another of the same gender, by a keyed
 rotation of its table; other names keep their last letter, which marks gender in
 Romance languages.
 
@@ -45,15 +46,19 @@ _ROUNDS = 64
 
 _WORD = r"\p{L}\p{N}._%+\-"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_KEY = r"""(?i:token|key|secret|password|passwd)["']?\s{0,3}[=:]\s{0,3}"""
+_NAME = r"\p{Lu}(?:['’]\p{Lu}|\p{L})\p{L}{0,30}(?:['’\-]\p{Lu}\p{L}{0,30}){0,3}"
+_PARTICLE = r"(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|zu)"
 #: Kind and pattern, the first that matches wins.
 KINDS = (
-    ("secret", r'(?<=(?i:token|key|secret|password|passwd)\s{0,3}[=:]\s{0,3}")[^"\s]{8,256}(?=")'),
+    ("secret", rf'(?<={_KEY}")[^"\s]{{8,256}}(?=")|(?<={_KEY}["\']?)(?=[^\s"\',;]{{0,255}}\d)[^\s"\',;]{{8,256}}'),
     ("email", rf"(?<![{_WORD}])[{_WORD}]{{1,64}}+@[\p{{L}}\p{{N}}\-]{{1,63}}(?:\.[\p{{L}}\p{{N}}\-]{{1,63}}){{0,8}}\.\p{{L}}{{2,24}}(?![\p{{L}}\p{{N}}])"),
-    ("phone", r"(?<![\p{L}\p{N}])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<!\d)(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}(?!\d)"),
+    ("phone", r"(?<![\p{L}\p{N}])(?=\+(?:[ .\-()]{0,2}\d){8})\+\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?){2,6}(?!\d)|(?<!\d)(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}(?!\d)"
+              r"|(?<![\d.,/\-+])(?=\(?0(?:[ .\-/()]{0,2}\d){8})(?!(?:\d{4}[ \-]){3}\d{4}(?!\d)|\d{3}-\d{2}-\d{4}(?![\d\-])|\d{2}[.\-/]\d{2}[.\-/]\d{4}(?!\d))(?:\(0\d{1,4}\) ?|0\d{1,4}[ .\-/])\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)"),
     ("identity", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("card", r"(?<![\d])(?:(?:\d{4}[ \-]){3}\d{4}|\d{13,19})(?!\d)"),
     ("ip", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"),
-    ("person", r"(?<=\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra)\.? )\p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?(?!\p{Ll})"),
+    ("person", rf"(?<=\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra)\.? )(?:{_PARTICLE} ){{0,2}}{_NAME}(?: (?:{_PARTICLE} ){{0,2}}{_NAME}){{0,2}}(?!\p{{L}})"),
 )
 #: The one capturing group is a secret's, as its own characters don't tell it from others.
 PATTERN = "|".join(f"({p})" if k == "secret" else f"(?:{p})" for k, p in KINDS)
@@ -168,17 +173,45 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), found).otherwise(none)
 
 
+def _names(found: Column) -> Column:
+    """The words of the persons found, without particles."""
+    persons = F.filter(found, lambda e: kind_of(e) == "person")
+    words = F.flatten(F.transform(persons, lambda e: F.split(e["entity"], " ")))
+    return F.array_distinct(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
+
+
+def _mentions(names: Column) -> Column:
+    """A pattern for whole words that are one of the names; longer names first, so that none hides another."""
+    longest = F.array_sort(names, lambda x, y: F.when(F.length(x) > F.length(y), -1).when(F.length(x) < F.length(y), 1).otherwise(0))
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:\Q"), F.array_join(longest, r"\E|\Q"), F.lit(r"\E)(?![\p{L}\p{N}])"))
+
+
+def _woven(parts: Column, between: Column) -> Column:
+    """The parts with what stands between them, one less."""
+    return F.array_join(F.zip_with(parts, F.concat(between, F.array(F.lit(""))), lambda p, s: F.concat(p, s)), "")
+
+
 def surrogates(docs: DataFrame, key: str, count: str | None = None) -> DataFrame:
-    """docs with surrogates in text, and the number of entities in a column `count` if it is named."""
+    """docs with surrogates in text, and the number of entities in a column `count` if it is named; bare mentions count."""
     t = F.col("text")
 
+    def renamed(part: Column, pattern: Column) -> Column:
+        bare = F.regexp_extract_all(part, pattern, F.lit(0))
+        return F.struct(_woven(F.split(part, pattern, -1), F.transform(bare, lambda w: _name(w, key))).alias("text"), F.size(bare).alias("n"))
+
+    def apart(parts: Column, names: Column) -> Column:
+        kept = F.transform(parts, lambda p: F.struct(p.alias("text"), F.lit(0).alias("n")))
+        return F.when(F.size(names) == 0, kept).otherwise(_let(_mentions(names), lambda m: F.transform(parts, lambda p: renamed(p, m))))
+
     def rebuilt(found: Column) -> Column:
-        parts = F.split(t, PATTERN, -1)
-        return F.when(F.size(found) == 0, t).otherwise(
-            F.array_join(F.transform(F.arrays_zip(parts.alias("p"), F.concat(F.transform(found, lambda e: surrogate(e, key)), F.array(F.lit(""))).alias("s")), lambda z: F.concat(z["p"], z["s"])), "")
-        )
+        def joined(parts: Column) -> Column:
+            text = _woven(F.transform(parts, lambda p: p["text"]), F.transform(found, lambda e: surrogate(e, key)))
+            return F.struct(text.alias("text"), (F.size(found) + F.aggregate(parts, F.lit(0), lambda n, p: n + p["n"])).cast("long").alias("n"))
+
+        split = _let(_names(found), lambda names: apart(F.split(t, PATTERN, -1), names))
+        return F.when(F.size(found) == 0, F.struct(t.alias("text"), F.lit(0).cast("long").alias("n"))).otherwise(_let(split, joined))
 
-    made = _let(F.coalesce(entities(t), F.array().cast(_FOUND)), lambda f: F.struct(rebuilt(f).alias("text"), F.size(f).cast("long").alias("n")))
+    made = _let(F.coalesce(entities(t), F.array().cast(_FOUND)), rebuilt)
     columns = [F.col("__made.text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
     return docs.withColumn("__made", made).select(*columns, *([F.col("__made.n").alias(count)] if count else []))
 

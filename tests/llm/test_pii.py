@@ -107,3 +107,22 @@ def test_the_two_maps_of_a_kind_do_not_meet(spark):
     got = {r.entity: r.surrogate for r in mapping(df, KEY).collect()}
     hexed = [x for x in nearly if x[0] in "bcdf"]
     assert len(set(got.values())) == len(nearly) and all(bool(regex.fullmatch("[0-9a-f]+", got[x])) == (x in hexed) for x in nearly)
+
+
+def test_bare_mentions_and_wider_shapes(spark):
+    rows = [
+        (1, "Mr. John Smith came. John Smith left. Smith paid; Smithson, Johnny did not."), (2, "Mr. McDonald, Mrs Smith-Jones and Dr. O'Neil; O'Neil's and McDonald's"),
+        (3, "call +33 1 23 45 67 89 or 020 7946 0958, (030) 1234 5678"), (4, "password=hunter2022 and 'api_key': 'abc12345'"), (5, "Smith was here. Herr von Goethe"),
+        (6, "at 01.02.2003, card 0123 4567 8901 2345 and 012-34-5678; the key: nothing; +1 2 3"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n) for r in surrogates(df, KEY, "n").collect()}
+    text, n = got[1]
+    first = text.split(" came")[0].removeprefix("Mr. ")
+    assert text == f"Mr. {first} came. {first} left. {first.split()[1]} paid; Smithson, Johnny did not." and n == 4 and "John Smith" not in text
+    assert not any(x in got[2][0] for x in ("McDonald", "Donald", "Jones", "Neil")) and got[2][1] == 5
+    assert got[3][1] == 3 and not any(x in got[3][0] for x in ("23 45 67 89", "7946", "1234 5678")) and got[3][0].startswith("call +33 ")
+    assert got[4][1] == 2 and not any(x in got[4][0] for x in ("hunter2022", "abc12345"))
+    assert got[5][0].startswith("Smith was here. Herr ") and "Goethe" not in got[5][0]
+    assert got[6][1] == 2 and got[6][0].startswith("at 01.02.2003, card ") and got[6][0].endswith("the key: nothing; +1 2 3")
+    assert collisions(df, KEY).count() == 0
