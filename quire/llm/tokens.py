@@ -4,7 +4,9 @@ Both public vocabularies cut a text before every space that follows another
 character, and between a letter and ASCII punctuation after it, ahead of any
 merge: no token crosses such a place. So what lies between can be encoded once
 and looked up afterwards, which gives the library's own ids for the whole text
-(the tests compare them with the library on random texts).
+(the tests compare them with the library on random texts). The vocabularies' added
+tokens, such as <|endoftext|>, are cut out of a text first and give their own ids,
+as they do in the library.
 """
 
 from __future__ import annotations
@@ -41,9 +43,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
+        self._added = {x["content"]: np.asarray([x["id"]], "<u4").tobytes() for x in made["added_tokens"]}
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if self._added else None
         self._word_ends = bool(made["model"].get("end_of_word_suffix"))
         self._model = self.tokenizer.model
         self._bytes = _byte_letters()
@@ -79,6 +82,12 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """The ids of a whole text, as bytes."""
+        if self._cut and self._cut.search(text):
+            return b"".join(self._added.get(x) or self._between(x) for x in self._cut.split(text) if x)
+        return self._between(text)
+
+    def _between(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         parts = pieces(text)
         found = list(map(self._new.get, parts))
         if None in found:
