@@ -2,7 +2,8 @@
 
 Old shards hold bytes, new shards have capacities. A byte that stays costs 0, a
 byte that moves costs 1; the transfers of least cost are a minimum-cost flow
-from old to new shards, solved by successive shortest paths on their few nodes.
+from old to new shards, solved by successive shortest paths on their few nodes;
+with these costs each is a single arc (`transfers`).
 The flow is then carried out in blocks: an old shard's rows lie in one order
 (a hash of doc_id), and each destination takes a run of them as long as its flow.
 A row that lies across a cut goes where its middle lies, so a shard's size is
@@ -13,7 +14,8 @@ Law: `bytes`. Sizes are near equal: total / shards, plus or minus rows at cuts.
 Only affected shards are rewritten: rows of a shard that neither gives nor takes
 keep their files.
 
-Defined results. Null text: size 16. A null doc_id is one key like others. Rows
+Defined results. A row whose old shard is null belongs to none: it counts as a shard of
+its own, -1, which gives all it has. Null text: size 16. A null doc_id is one key like others. Rows
 that share a doc_id and text are alike and each keeps a slot. Extra columns pass
 through `reshard`; those named like its own are renamed in_<name>. An empty table gives no rows.
 """
@@ -27,6 +29,10 @@ from quire.operators.ordering import global_index, running_sum
 from quire.staging import new_path, stage
 
 
+#: Bytes of text to a file, about.
+FILE_BYTES = 256 << 20
+
+
 def row_size() -> Column:
     """UTF-8 bytes of the text and 16 for the row."""
     return (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
@@ -40,9 +46,11 @@ def capacities(total: int, shards: int) -> list[int]:
 def transfers(old: list[int], new: list[int]) -> dict[tuple[int, int], int]:
     """Bytes from old shard i to new shard j, moving the fewest; sum(old) == sum(new).
 
-    Successive shortest paths with potentials on the network source -> old -> new
-    -> sink, where old i -> new i costs 0 and any other pair 1. Both sides are a
-    few dozen or thousand shards, whatever the data.
+    A minimum-cost flow on the network source -> old -> new -> sink, where old i ->
+    new i costs 0 and any other pair 1, by successive shortest paths. With these costs
+    no path needs a search: those of cost 0 are the arcs i -> i, and every later
+    shortest path is one direct arc. Both sides are a few dozen or thousand shards,
+    whatever the data.
     """
     if sum(old) != sum(new):
         raise ValueError("capacities must equal sizes")
@@ -87,29 +95,36 @@ def _key() -> Column:
     return F.struct(F.xxhash64(doc_id).alias("h"), doc_id.alias("d"), F.xxhash64("text").alias("t"))
 
 
+def _shard(old: Column) -> Column:
+    return F.coalesce(old.cast("int"), F.lit(-1))
+
+
 def plan(docs: DataFrame, old: Column, shards: int) -> DataFrame:
     """The runs of the new layout: old_shard, shard, first_key and next_key (null: to the end), at most old + new rows."""
     spark = docs.sparkSession
-    rows = docs.select(_key().alias("key"), row_size().alias("size"), old.cast("int").alias("old_shard"))
+    rows = docs.select(_key().alias("key"), row_size().alias("size"), _shard(old).alias("old_shard"))
     placed = running_sum(rows.select("old_shard", "key.*", "size"), [F.col("old_shard"), F.col("h"), F.col("d"), F.col("t")], "size", "before")
     # One row an old shard: their number is the layout's, not the data's.
     sizes = {r["old_shard"]: (r["n"], r["first"]) for r in placed.groupBy("old_shard").agg(F.sum("size").alias("n"), F.min("before").alias("first")).collect()}
-    have = [sizes.get(i, (0, 0))[0] for i in range(max(sizes, default=-1) + 1)]
-    runs = [(i, j, sizes[i][1] + a, sizes[i][1] + z) for i, j, a, z in cuts(transfers(have, capacities(sum(have), shards)))]
+    # The shard of rows without one comes last, where no new shard has its number.
+    top = max([*sizes, shards - 1]) + 1
+    have = [sizes.get(i, (0, 0))[0] for i in range(top)] + [sizes.get(-1, (0, 0))[0]]
+    number = [*range(top), -1]
+    runs = [(number[i], j, sizes[number[i]][1] + a, sizes[number[i]][1] + z) for i, j, a, z in cuts(transfers(have, capacities(sum(have), shards)))]
     table = spark.createDataFrame(runs, "old_shard int, shard int, first long, last long")
     middle = F.col("before") + F.shiftright("size", 1)
     at = placed.join(F.broadcast(table), "old_shard").where((middle >= F.col("first")) & (middle < F.col("last")))
     firsts = at.groupBy("old_shard", "shard").agg(F.min("before").alias("at"), F.min(F.struct("h", "d", "t")).alias("first_key"))
     after = Window.partitionBy("old_shard").orderBy("at")
-    return firsts.withColumn("next_key", F.lead("first_key").over(after)).drop("at")
+    return firsts.withColumn("next_key", F.lead("first_key").over(after)).withColumn("total", F.lit(sum(have)).cast("long")).drop("at")
 
 
 def assign(docs: DataFrame, runs: DataFrame, old: Column) -> DataFrame:
     """docs plus old_shard, shard and size; runs is as small as the layouts are."""
-    tagged = docs.withColumns({"old_shard": old.cast("int"), "size": row_size(), "__key": _key()})
+    tagged = docs.withColumns({"old_shard": _shard(old), "size": row_size(), "__key": _key()})
     r = F.broadcast(runs.withColumnRenamed("old_shard", "__old"))
     inside = (F.col("old_shard") == F.col("__old")) & (F.col("__key") >= F.col("first_key")) & (F.col("next_key").isNull() | (F.col("__key") < F.col("next_key")))
-    return tagged.join(r, inside).drop("__key", "__old", "first_key", "next_key")
+    return tagged.join(r, inside).drop("__key", "__old", "first_key", "next_key", "total")
 
 
 def reshard(docs: DataFrame, old: Column, shards: int, path: str) -> DataFrame:
@@ -124,10 +139,14 @@ def reshard(docs: DataFrame, old: Column, shards: int, path: str) -> DataFrame:
     affected = [r["shard"] for r in runs.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct().collect()]
     new = assign(docs.withColumn("__was", old).withColumnsRenamed(clash), runs, F.col("__was")).drop("__was")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, 2 * parts // shards)))
+    # A task writes about FILE_BYTES of a shard, however many bytes there are.
+    total = runs.agg(F.max("total")).first()[0] or 0
+    pieces = max(1, -(-total // (shards * FILE_BYTES)))
+    salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(pieces))
+    parts = max(parts, shards * pieces)
     moved = new.where(F.col("shard").isin(affected)).repartition(parts, "shard", salt).withColumn("folder", F.col("shard"))
     moved.write.partitionBy("folder").option("compression", "zstd").parquet(path)
-    written = spark.read.schema(new.schema).parquet(path)
+    written = spark.read.schema(new.schema).parquet(path).select(*new.columns)
     still = new.where(~F.col("shard").isin(affected))
     return written if not runs.where(~F.col("shard").isin(affected)).count() else written.unionByName(still)
 

@@ -43,3 +43,20 @@ def test_untouched_shards_stay(spark):
 
 def test_empty(spark):
     assert digest(spark.createDataFrame([], "doc_id long, text string"), F.lit(0), 3).count() == 0
+
+
+def test_only_affected_shards_are_rewritten(spark):
+    """A giver, a taker, an untouched shard and rows of no shard, beside columns that clash."""
+    rows = [(i, "abcd", 0, i, "f") for i in range(20)] + [(100 + i, "abcd", 1, i, "f") for i in range(10)] + [(200 + i, "abcd", 2, i, "f") for i in range(15)]
+    rows += [(300 + i, "abcd", None, i, "f") for i in range(15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, at int, shard int, folder string")
+    path = new_path(spark, "t")
+    out = reshard(df, F.col("at"), 4, path)
+    got = out.collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    assert [sum(r.shard == k for r in got) for k in range(4)] == [15, 15, 15, 15]
+    assert all(r.shard == 2 for r in got if 200 <= r.doc_id < 215) and all(r.in_shard is not None for r in got)
+    files = spark.read.parquet(path)
+    assert files.where("shard = 2").count() == 0 and files.count() == 45
+    moved = sum(r.old_shard != r.shard for r in got)
+    assert moved == 20  # five from shard 0, fifteen that had none
