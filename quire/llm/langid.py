@@ -7,8 +7,8 @@ votes. A text's score under a linear machine is the sum over its words, so each
 distinct word is scored once a worker and looked up afterwards.
 
 The machines are fitted on the driver on at most `per_language` documents of each
-language (default 1500, chosen by a hash of doc_id among all labelled rows that
-are given): 4 * 1500 vectors of 4096 floats are 100 MB. Prediction reads every
+language (default 1500, chosen by a hash of doc_id and text among all labelled rows
+that are given, equal rows once): 4 * 1500 vectors of 4096 floats are 100 MB. Prediction reads every
 whole text and nothing but the text.
 
 Defined results. A text that is null or has no letter: `und`, score 0. No
@@ -25,10 +25,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FEATURES = 4096
+MOST_LANGUAGES = 400
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CACHE = 700_000
 
@@ -138,12 +139,18 @@ def train(labelled: DataFrame, per_language: int = 1500) -> Model | None:
     """Fit on rows(doc_id, text, lang) with lang not null: of each language those with the smallest hashes, about per_language at most."""
     # The languages are a few names, never rows: codes of the world's languages bound them.
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"{len(counts)} languages: the fit is bounded to {MOST_LANGUAGES}")
     if not counts:
         return None
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
+    # A share first, then exactly per_language at most of what it leaves, by the same hash: rows that are copies count once.
+    h = F.xxhash64("doc_id", "text")
+    some = labelled.where(F.pmod(h, F.lit(1_000_000)) < F.least(F.lit(1.0), share * 2) * 1_000_000).select("lang", "text", h.alias("h"))
+    once = some.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    drawn = once.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("at") <= per_language).select("lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,8 +158,8 @@ def train(labelled: DataFrame, per_language: int = 1500) -> Model | None:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "v"])
 
     rows = drawn.mapInArrow(vectors, "lang string, v binary").toArrow()
-    x = np.frombuffer(b"".join(rows.column("v").to_pylist()), np.float32).reshape(-1, FEATURES)
-    return fit(x, rows.column("lang").to_pylist())
+    found = sorted(zip(rows.column("lang").to_pylist(), rows.column("v").to_pylist()))
+    return fit(np.frombuffer(b"".join(v for _, v in found), np.float32).reshape(-1, FEATURES), [k for k, _ in found])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

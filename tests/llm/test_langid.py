@@ -35,3 +35,12 @@ def test_fit_separates():
     x = np.stack([vector(t) for t in ("the of and", "of the that", "der die und", "und das der")])
     m = fit(x, ["en", "en", "de", "de"])
     assert [m.decide(m.weights @ v + m.bias)[0] for v in x] == ["en", "en", "de", "de"]
+
+
+def test_draw_is_by_text_and_bounded(spark):
+    """Rows that share a doc_id are drawn each by its text, copies once, per_language at most."""
+    rows = [(7, f"the word number {i} of these", "en") for i in range(300)] + [(i, f"das wort nummer {i} von denen", "de") for i in range(300)] + [(9, "le même texte toujours", "fr")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(df, 100)
+    got = {(r.lang, r.lang_pred) for r in identify(df, model).collect()}
+    assert got == {("en", "en"), ("de", "de"), ("fr", "fr")}
