@@ -11,10 +11,21 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_CACHE_WORDS = 400_000
+#: About 30 MB.
+_CACHE_WORDS = 150_000
+#: Texts that go to a Python worker at a time: 10,000, the default, can be hundreds of MB on either side.
+_BATCH = "1000"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it has its own setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, _BATCH)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

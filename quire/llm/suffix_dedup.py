@@ -35,11 +35,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.byte_windows import Rolling, anchors
-from quire.llm.common import texts
+from quire.llm.common import text_batches, texts
 from quire.llm.difference_cover import repeated
 from quire.staging import stage
 
@@ -49,6 +49,8 @@ RANGE = 12
 #: Bytes that are sorted at a time, and the most that one bucket may bring.
 BLOCK = 1 << 19
 BUCKET = 1 << 17
+#: Bytes that a worker hands over at a time.
+BATCH = 8 << 20
 
 
 def _sorted_block(rows: list[tuple[int, int, bytes]], window: int) -> pa.RecordBatch:
@@ -70,8 +72,10 @@ def _sorted_block(rows: list[tuple[int, int, bytes]], window: int) -> pa.RecordB
     return pa.RecordBatch.from_arrays([_long(key[at]), _long(first[at]), _long(first[last] + window)], names=["key", "start", "end"])
 
 
-def _key() -> Column:
-    return F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 63))), F.coalesce("text", F.lit("")))
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for each row in `__key`, staged, so that the numbers stay."""
+    text_batches(docs.sparkSession)
+    return stage(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
 
 
 def _mix(*parts: np.ndarray) -> np.ndarray:
@@ -96,11 +100,11 @@ def _runs(text: bytes, window: int, gram: int):
     return place, first, last, g, r.some(first, last + window)
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
-    """(key, spans) of the texts with repeats, spans an array of (start, end) in bytes; and (key, doc_id, packed text) of all."""
+def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """From rows(__key, doc_id, text): (key, spans) of those with repeats, spans an array of (start, end) in bytes; and (key, doc_id, packed text) of all."""
     if gram >= window or window - gram > 255:
         raise ValueError("gram must be shorter than window, by at most 255 bytes")
-    rows = docs.select(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.select(F.col("__key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,16 +158,24 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buck
         import zstandard
 
         z = zstandard.ZstdDecompressor()
+        def made(out: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.binary())], names=["key", "run", "gram", "crowded", "bytes"])
+
+        out, size = [[], [], [], [], []], 0
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
             for key, data, runs_ in zip(*(b.column(k).to_pylist() for k in ("key", "packed", "runs"))):
                 text = z.decompress(data)
                 for r in runs_:
                     run = r["run"]
                     at = run >> 16
-                    for column, x in zip(out, (key, run, r["gram"], r["crowded"], text[at - (run >> 8 & 255) : at - (run & 255) + window])):
+                    part = text[at - (run >> 8 & 255) : at - (run & 255) + window]
+                    for column, x in zip(out, (key, run, r["gram"], r["crowded"], part)):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.binary())], names=["key", "run", "gram", "crowded", "bytes"])
+                    size += len(part)
+                    if size >= BATCH:
+                        yield made(out)
+                        out, size = [[], [], [], [], []], 0
+        yield made(out)
 
     around_all = stage(packed.join(edges, "key").select("key", "packed", "runs").mapInArrow(around, "key long, run long, gram long, crowded boolean, bytes binary"), "edges")
 
@@ -266,8 +278,8 @@ def _rest(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def _resolved(docs: DataFrame, row: Callable[[bytes, list], tuple], types: list[tuple[str, pa.DataType, str]], window: int, gram: int, bucket: int) -> DataFrame:
-    spans, packed = repeated_spans(docs, window, gram, bucket)
+def _resolved(rows: DataFrame, row: Callable[[bytes, list], tuple], types: list[tuple[str, pa.DataType, str]], window: int, gram: int, bucket: int) -> DataFrame:
+    spans, packed = repeated_spans(rows, window, gram, bucket)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -288,12 +300,13 @@ def dedup_report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket
     def row(text: bytes, spans: list) -> tuple:
         return len(text), sum(z - a for a, z in spans), len(spans), hashlib.sha256(_rest(text, spans)).hexdigest()
 
-    return _resolved(docs, row, [("n_bytes", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")], window, gram, bucket).drop("key")
+    return _resolved(keyed(docs.select("doc_id", "text")), row, [("n_bytes", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")], window, gram, bucket).drop("key")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
     """docs with what is left of each text; a null text stays null. Columns and their order are those of docs."""
-    left = _resolved(docs, lambda t, s: (_rest(t, s).decode(errors="ignore") if s else t.decode(),), [("__rest", pa.string(), "string")], window, gram, bucket)
-    left = left.select(F.col("key").alias("__key"), "__rest").dropDuplicates(["__key"])
-    others = docs.select(*[c for c in docs.columns if c != "text"], F.col("text").isNull().alias("__null"), _key().alias("__key"))
+    rows = keyed(docs)
+    left = _resolved(rows, lambda t, s: (_rest(t, s).decode(errors="ignore") if s else t.decode(),), [("__rest", pa.string(), "string")], window, gram, bucket)
+    left = left.select(F.col("key").alias("__key"), "__rest")
+    others = rows.select(*[c for c in docs.columns if c != "text"], F.col("text").isNull().alias("__null"), "__key")
     return others.join(left, "__key").withColumn("text", F.when(~F.col("__null"), F.col("__rest"))).select(*docs.columns)
