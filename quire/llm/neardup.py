@@ -14,6 +14,7 @@ hashes. Documents with equal sets are one node. Then:
    with the fewest values of its own. Members that don't link with the hub are
    compared with all others of the list for which position and length still allow
    the threshold: the exact way for the rest, and nearly empty after the two rules.
+   A long list is dealt in blocks, and a hub's partners in salted parts.
 3. The sketch of the union (the k least of both) estimates the likeness of each
    pair; pairs 5.5 standard deviations below the threshold go.
 4. Exact Jaccard on the full sets decides. Only then is there a link.
@@ -40,12 +41,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WordHashes, shingle_hashes, texts
+from quire.llm.common import WordHashes, shingle_hashes, text_batches, texts
 from quire.staging import stage
 
 K = 64
 CROWD = 16
 STAR_BLOCKS = 256
+LIST_BLOCK = 2000
 _NULL_ID = -(1 << 63)
 _FLIP = np.uint64(1 << 63)
 
@@ -182,6 +184,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, k: int = K, crowd: int = CROWD) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept, digest (xxhash64 of its text)."""
+    text_batches(docs.sparkSession)
     sk = stage(sketches(docs, width, k), "sketches")
     classes = stage(sk.where("rid is not null").groupBy("rid").agg(F.min(F.struct("doc_id", "digest")).alias("rep"), F.first("n").alias("n")), "classes")
     reps = classes.select("rid", "n", "rep.doc_id", "rep.digest")
@@ -217,14 +220,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, k:
     few = exact.join(counts.where(f"c between 2 and {crowd}").select("value"), "value")
     a, b = _sides(few)
     second = a.join(b, "value").where("a_rid < b_rid").where(_long_enough(threshold) & _reachable(threshold)).select(F.col("a_rid").alias("a"), F.col("b_rid").alias("b")).distinct().withColumn("salt", F.lit(0))
-    hot = stage(exact.join(counts.where(f"c > {crowd}").select("value", F.col("hub.rid").alias("hub")), "value"), "hot")
+    hot = stage(exact.join(counts.where(f"c > {crowd}").select("value", F.col("hub.rid").alias("hub"), F.ceil(F.col("c") / LIST_BLOCK).alias("blocks")), "value"), "hot")
     star = hot.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct().withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(STAR_BLOCKS)).cast("int"))
     links = stage(verified(first.unionByName(estimated(second.unionByName(star), own, threshold, k)).distinct(), nodes, threshold, width), "links")
 
     linked = links.select(F.col("a").alias("hub"), F.col("b").alias("rid")).unionByName(links.select(F.col("b").alias("hub"), F.col("a").alias("rid"))).distinct()
     alone = hot.where("rid <> hub").join(linked, ["hub", "rid"], "left_anti")
-    a, b = _sides(alone)[0], _sides(hot)[1]
-    rest = a.join(b, "value").where("a_rid <> b_rid").where(_long_enough(threshold) & _reachable(threshold)).select(F.least("a_rid", "b_rid").alias("a"), F.greatest("a_rid", "b_rid").alias("b")).distinct().withColumn("salt", F.lit(0))
+    # A list of any length is dealt in blocks of one side, so no task has more than LIST_BLOCK of its rows on that side.
+    a = alone.select("value", F.pmod(F.xxhash64("rid"), "blocks").alias("block"), *[F.col(c).alias(f"a_{c}") for c in ("rid", "n", "at")])
+    b = hot.select("value", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"b_{c}") for c in ("rid", "n", "at")])
+    rest = a.join(b, ["value", "block"]).where("a_rid <> b_rid").where(_long_enough(threshold) & _reachable(threshold)).select(F.least("a_rid", "b_rid").alias("a"), F.greatest("a_rid", "b_rid").alias("b")).distinct().withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(STAR_BLOCKS)).cast("int"))
     links = links.unionByName(verified(estimated(rest, own, threshold, k), nodes, threshold, width))
 
     roots = stage(components(links), "roots").withColumnRenamed("node", "rid")
