@@ -4,7 +4,7 @@ One pattern finds the entities; each is rewritten character by character inside
 row. A character stays in its class (digit, vowel, consonant, accented, Greek,
 Cyrillic, upper or lower case), so script and format hold; it moves by a shift that
 a keyed SHA-256 draws from the entity's kind, length and the characters before it,
-folded to lower case. Given the characters before, a shift is a permutation of the
+folded to lower case; a letter of another script moves inside its block of letters. Given the characters before, a shift is a permutation of the
 class, so that map is one-to-one. Where a kind has two maps, the one for the names of
 the tables or for hexadecimal secrets stays in its own set, and the other is applied
 again until it has left that set, which is one-to-one on the rest. So distinct
@@ -22,7 +22,8 @@ rotation of its table; other names keep their last letter, which marks gender in
 Romance languages.
 
 Defined results. Null text: null, no entities. Empty text: empty. Repeated rows get
-the same text. Extra columns pass through `surrogates` untouched. An empty table gives
+the same text. Extra columns pass through `surrogates` untouched; one named like the count is
+renamed in_<name>. An empty table gives
 no rows. Very long texts are one row's work like others.
 """
 
@@ -41,6 +42,12 @@ CLASSES = (
     "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя",
 )
 _HEX_LETTERS = "abcdef"
+#: First and last code point of letters of other scripts, each a class of its own; all are assigned, and no case tells them apart.
+SCRIPTS = (
+    (0x05D0, 0x05EA), (0x0621, 0x063A), (0x0641, 0x064A), (0x0905, 0x0939), (0x0E01, 0x0E2E), (0x10D0, 0x10F0),
+    (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+)
+_SCRIPT_LETTERS = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{z:X}}}" for a, z in SCRIPTS) + "]"
 #: Times that a map is applied at most to leave the other map's set: more than there are names in the tables.
 _ROUNDS = 64
 
@@ -76,9 +83,23 @@ def _draw(key: str, kind: str, *parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
+def _letter(code_point: Column) -> Column:
+    """The character of a code point from U+0080 to U+FFFF, from its bytes in UTF-8."""
+    low = F.lit(0x80) + code_point.bitwiseAND(F.lit(63))
+    two = (F.lit(0xC0) + F.shiftright(code_point, 6)) * 256 + low
+    three = ((F.lit(0xE0) + F.shiftright(code_point, 12)) * 256 + F.lit(0x80) + F.shiftright(code_point, 6).bitwiseAND(F.lit(63))) * 256 + low
+    return F.unhex(F.hex(F.when(code_point < 0x800, two).otherwise(three))).cast("string")
+
+
 def _moved(c: Column, draw: Column, must: Column, classes) -> Column:
     """c moved inside its class by the number drawn; where `must`, never by nothing."""
     out = c
+    if classes is CLASSES:
+        at = F.ascii(c).cast("long")
+        for a, z in SCRIPTS:
+            n = z - a + 1
+            shift = F.when(must, F.pmod(draw, F.lit(n - 1)) + 1).otherwise(F.pmod(draw, F.lit(n)))
+            out = F.when(at.between(a, z), _letter(F.pmod(at - a + shift, F.lit(n)) + a)).otherwise(out)
     low = F.lower(c)
     for letters in classes:
         n = len(letters)
@@ -92,7 +113,8 @@ def _moved(c: Column, draw: Column, must: Column, classes) -> Column:
 def _spelled(text: Column, key: str, kind: str, classes=CLASSES) -> Column:
     """Every character of text moved within its class; the rest of the characters stay."""
     movable = "".join(classes)
-    first = F.instr(F.translate(F.lower(text), movable, "\x01" * len(movable)), "\x01")
+    marked = F.translate(F.lower(text), movable, "\x01" * len(movable))
+    first = F.instr(F.regexp_replace(marked, _SCRIPT_LETTERS, "\x01") if classes is CLASSES else marked, "\x01")
 
     def one(c: Column, i: Column) -> Column:
         draw = _draw(key, kind, F.length(text).cast("string"), F.lower(F.substr(text, F.lit(1), i)))
@@ -212,7 +234,7 @@ def surrogates(docs: DataFrame, key: str, count: str | None = None) -> DataFrame
         return F.when(F.size(found) == 0, F.struct(t.alias("text"), F.lit(0).cast("long").alias("n"))).otherwise(_let(split, joined))
 
     made = _let(F.coalesce(entities(t), F.array().cast(_FOUND)), rebuilt)
-    columns = [F.col("__made.text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    columns = [F.col("__made.text").alias("text") if c == "text" else F.col(c).alias(f"in_{c}") if c == count else F.col(c) for c in docs.columns]
     return docs.withColumn("__made", made).select(*columns, *([F.col("__made.n").alias(count)] if count else []))
 
 

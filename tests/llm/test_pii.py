@@ -7,6 +7,8 @@ from quire.llm.common import documents
 from quire.llm.pii import CLASSES, FEMALE, KINDS, MALE, _left, _name, collisions, mapping, surrogates
 
 KEY = "k"
+#: Letters without case, written out here apart from the operator's own table.
+BLOCKS = [(0x05D0, 0x05EA), (0x0621, 0x063A), (0x0641, 0x064A), (0x0905, 0x0939), (0x0E01, 0x0E2E), (0x10D0, 0x10F0), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
 
 
 def draw(kind, *parts):
@@ -22,6 +24,12 @@ def spelled(x, kind, classes=CLASSES):
                 new = letters[(at + (d % n if moved else d % (n - 1) + 1)) % n]
                 c, moved = new if c == c.lower() else new.upper(), True
                 break
+        else:
+            for a, z in BLOCKS if classes is CLASSES else ():
+                if a <= ord(c) <= z:
+                    d, n = draw(kind, str(len(x)), x[:i].lower()), z - a + 1
+                    c, moved = chr(a + (ord(c) - a + (d % n if moved else d % (n - 1) + 1)) % n), True
+                    break
         out += c
     return out
 
@@ -62,7 +70,8 @@ ROWS = [
     (1, "Write to und.34@mail7.example.com, or UND.34@MAIL7.EXAMPLE.COM!! now"), (2, None), (3, ""), (4, "call +1 (017) 555-7713%%% or 212-555-0199; not 1234"),
     (5, "from 233.254.104.120 and 64.147.79.24."), (6, 'token = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!! api_key: "hello-world-42"'), (7, "card 4000123412341234 or 4000 1234 1234 1234, id 123-45-6789"),
     (8, "Mr. John Smith met Frau Ursula Müller, Sra. Lopez and Mrs Anna Ivanova"), (9, "élan.7@été.example.fr and Version 2.0. 1.2.3.4.5 256.1.1.1"), (10, "x" * 20000 + " a@b.co " + "9" * 3000), (1, "Write to und.34@mail7.example.com"),
-    (11, "γιώργος.5@mail.gr иван@почта.рф"), (None, "@@ +1 () ... \"\" Mr. x"),
+    (11, "γιώργος.5@mail.gr иван@почта.рф"), (12, "用户@例子.中国 ひらカナ@한글.한국 שלום@דואר.קום مرحبا@بريد.مصر नमसत@डाक.भारत"),
+    (13, 'password = "用户密码安全保护你"'), (None, "@@ +1 () ... \"\" Mr. x"),
 ]
 
 
@@ -126,3 +135,11 @@ def test_bare_mentions_and_wider_shapes(spark):
     assert got[5][0].startswith("Smith was here. Herr ") and "Goethe" not in got[5][0]
     assert got[6][1] == 2 and got[6][0].startswith("at 01.02.2003, card ") and got[6][0].endswith("the key: nothing; +1 2 3")
     assert collisions(df, KEY).count() == 0
+
+
+def test_letters_of_all_scripts_move_one_to_one(spark):
+    df = spark.createDataFrame([(i, f"{chr(a + i % (z - a + 1))}{i}@ab.cd") for a, z in BLOCKS for i in range(60)], "doc_id long, text string")
+    assert collisions(df, KEY).count() == 0
+    for r in surrogates(df, KEY).collect():
+        block = next((a, z) for a, z in BLOCKS if a <= ord(r.text[0]) <= z)
+        assert block
