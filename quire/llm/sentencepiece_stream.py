@@ -4,20 +4,24 @@ The search goes over the places of a text. A place is reached by the pieces that
 end there, so only the last `longest` places can still be left by a piece: that
 window is all that is kept. Each place holds one backpointer; when the paths of
 all places of the window run through one boundary, what lies before it is final,
-its ids are given out and it is forgotten. Memory is the window, not the text.
+its ids are given out and it is forgotten: `stream` takes characters one at a time and
+keeps the window, whatever the length of what it reads.
 
 What makes a path best depends on the model. Unigram: the largest sum of scores.
 BPE, the kind of the public model: the path on which every two neighbours are what
 merging by rank makes of the two together; exactly one such path ends at each place,
 and it is the model's own segmentation.
 
-Between two characters that stand side by side in no piece, all paths converge. Such
-places cut a text into segments that are encoded once and looked up afterwards.
+Between two characters that stand side by side in no piece, all paths converge, and so
+they do before a space where no piece holds one after another character. Such places cut
+a text into segments, mostly words; `encode`, which has the whole text in its row anyway,
+streams each segment that it hasn't met and looks up the others.
 
 Defined results. Null or empty text: no ids, decoded as empty. A character outside the
 vocabulary: its UTF-8 bytes, if the model has byte pieces, else the unknown id. Text
 that holds the escape character U+2581 itself comes back with spaces, as in the library.
-Repeated rows give equal ids. Extra columns pass through `encode`. An empty table
+Repeated rows give equal ids. Extra columns pass through `encode` and `decode`; one named
+like the result is renamed in_<name>. An empty table
 gives no rows.
 """
 
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-_CACHE = 700_000
+_CACHE = 500_000
 _PAIRS = 1_000_000
 _KEPT = 48
 
@@ -105,11 +109,14 @@ class Model:
         if self.charsmap or self.squeeze:
             raise ValueError("only models that leave the text as it is are read")
         self.longest = max(map(len, self.score), default=1)
+        #: Every end of a piece: a text that ends in none of them ends in no piece either.
+        self._ends = {p[k:] for p in self.score for k in range(len(p))}
         self._beside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         self._by_word = not any(p[1] == SPACE != p[0] for p in self._beside)
         self._least = min(self.score.values(), default=0.0) - 10
         self._byte_of = byte_of
         self._pair: dict[tuple[str, str], bool] = {}
+        self._words: dict[str, bytes] = {}
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -142,25 +149,29 @@ class Model:
         back, best = {0: 0}, {0: 0.0}
         last = {0: ""}
         place = 0
+        scores, ends = self.score, self._ends
         for c in chars:
             window += c
             place += 1
             chosen = None
-            for start in range(max(first, place - self.longest), place):
-                if start not in back:
-                    continue
+            for start in range(place - 1, max(first, place - self.longest) - 1, -1):
                 piece = window[start - first :]
-                score = self.score.get(piece)
+                score = scores.get(piece)
                 if score is None:
                     if place - start > 1:
+                        if piece not in ends:
+                            break
                         continue
                     score = self._least
                 if self.kind == 1:
-                    if chosen is None or best[start] + score > best[place]:
+                    # Of equal sums the one with the longest last piece.
+                    if chosen is None or best[start] + score >= best[place]:
                         chosen, best[place] = start, best[start] + score
                 elif self._fits(last[start], piece):
                     chosen = start
                     break
+                if piece not in ends:
+                    break
             back[place], last[place] = chosen, window[chosen - first :]
             if place - first >= 2 * self.longest:
                 done = self._common(back, first, place)
@@ -228,12 +239,24 @@ class Model:
         """The ids of a whole text, as little-endian u32."""
         if not text:
             return b""
+        if self._by_word and self.dummy and SPACE not in text:
+            # Each word with the space before it; where spaces stand in a row they belong together.
+            words = text.split(" ")
+            if "" not in words:
+                found = list(map(self._words.get, words))
+                if None in found:
+                    found = [self._word(w) if x is None else x for w, x in zip(words, found)]
+                return b"".join(found)
         escaped = (SPACE if self.dummy else "") + text.replace(" ", SPACE)
-        words = _WORDS.findall(escaped) if self._by_word else [escaped]
-        found = list(map(self._new.get, words))
-        if None in found:
-            found = [self._segment(w) if x is None else x for w, x in zip(words, found)]
-        return b"".join(found)
+        return b"".join(map(self._segment, _WORDS.findall(escaped) if self._by_word else [escaped]))
+
+    def _word(self, word: str) -> bytes:
+        out = self._segment(SPACE + word)
+        if len(word) < _KEPT:
+            if len(self._words) >= _CACHE // 2:
+                self._words.clear()
+            self._words[word] = out
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -268,6 +291,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     """docs plus the ids of a text column, as little-endian u32 bytes."""
     from pyspark.sql.types import BinaryType, StructType
 
+    docs = docs.withColumnsRenamed({out: f"in_{out}"} if out in docs.columns else {})
     names, at = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,6 +306,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "text") -> D
     """rows plus the text of a column of ids; null ids give empty text."""
     from pyspark.sql.types import StringType, StructType
 
+    rows = rows.withColumnsRenamed({out: f"in_{out}"} if out in rows.columns else {})
     names, at = rows.columns, rows.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
