@@ -13,7 +13,8 @@ whole text and nothing but the text.
 
 Defined results. A text that is null or has no letter: `und`, score 0. No
 labelled row to learn from: `und` for all. A single language: that one. Repeated
-rows get the same answer. Extra columns pass through `identify` untouched.
+rows get the same answer. Extra columns pass through `identify` untouched; those named
+like its own are renamed in_<name>.
 """
 
 from __future__ import annotations
@@ -166,6 +167,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs plus lang_pred and score, from the text alone."""
     from pyspark.sql.types import DoubleType, StringType, StructType
 
+    docs = docs.withColumnsRenamed({c: f"in_{c}" for c in ("lang_pred", "score") if c in docs.columns})
     names, at = docs.columns, docs.columns.index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
