@@ -49,15 +49,27 @@ def html_escape(x: Column | str) -> Column:
     return out
 
 
+def without_controls(x: Column, written) -> Column:
+    """x with each control character written another way; text without any, the usual case, is only looked over."""
+    each = F.transform(F.split(x, ""), lambda c: F.when((c != "") & ((F.ascii(c) < 32) | (F.ascii(c) == 127)), written(c)).otherwise(c))
+    return F.when(x.rlike("[\\x00-\\x1F\\x7F]"), F.array_join(each, "")).otherwise(x)
+
+
 def path_component(x: Column | str) -> Column:
-    """A name that is safe as one step of a path: separators and controls as %XX, no trailing space or dot, `_` before a leading dot or nothing."""
+    """A name that is safe as one step of a path: separators and controls as %XX, no trailing space or dot (but where
+    nothing else is left), `_` before a leading dot or nothing."""
     out = F.replace(F.replace(F.replace(col(x), F.lit("/"), F.lit("%2F")), F.lit("\\"), F.lit("%5C")), F.lit(":"), F.lit("%3A"))
-    for c in (*range(32), 127):
-        out = F.replace(out, F.lit(chr(c)), F.lit(f"%{c:02X}")) if c in (0, 9, 10, 13, 27, 127) else out
-    out = F.regexp_replace(out, "[ .]+$", "")
+    out = without_controls(out, lambda c: F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c).cast("long")), 2, "0")))
+    out = F.when(out.rlike("^[ .]*$"), out).otherwise(F.regexp_replace(out, "[ .]+\\z", ""))
     return F.when((out == "") | F.startswith(out, F.lit(".")), F.concat(F.lit("_"), out)).otherwise(out)
 
 
+def byte_window(x: Column | str, most: int) -> Column:
+    """The first `most` bytes of a text, without a character cut in two."""
+    head = F.substring(col(x).cast("binary"), 1, most)
+    return F.when(F.octet_length(col(x)) <= most, col(x)).otherwise(F.regexp_replace(F.make_valid_utf8(head.cast("string")), "\\x{FFFD}\\z", ""))
+
+
 def href(path: Column | str) -> Column:
     """A relative link to a path: each step percent-encoded but for the unreserved characters."""
     def step(s: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import search as S
-from quire.operators.ordering import global_index, running_sum
+from quire.operators.ordering import global_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,11 +118,11 @@ b AS (SELECT *, CASE WHEN lag(event_type) OVER (ORDER BY pos) IS NOT DISTINCT FR
 r AS (SELECT *, sum(s) OVER (ORDER BY pos) AS run FROM b)
 SELECT event_type, min(pos) AS first_pos, count(*) AS n FROM r GROUP BY run, event_type""")
 def group_runs(spark, sf_dir):
-    """Runs over a global order: rows meet their predecessor by position, and a run's start is numbered by a distributed running sum."""
+    """Runs over a global order of events."""
+    from quire.operators.inventory import with_runs
+
     e = global_index(table(spark, sf_dir, "events").select("ts", "event_id", "event_type"), [F.col("ts"), F.col("event_id")], "pos")
-    before = e.select((F.col("pos") + 1).alias("pos"), F.col("event_type").alias("previous"))
-    starts = e.join(before, "pos", "left").withColumn("s", F.when(F.col("event_type").eqNullSafe(F.col("previous")) & (F.col("pos") > 0), 0).otherwise(1).cast("long"))
-    runs = running_sum(starts.select("pos", "event_type", "s"), [F.col("pos")], "s", "b").withColumn("run", F.col("b") + F.col("s"))
+    runs = with_runs(e, F.col("event_type"), "pos")
     return runs.groupBy("run", "event_type").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n")).drop("run")
 
 
@@ -132,52 +132,6 @@ def row_number_global(spark, sf_dir):
     return global_index(o, [F.col("o_totalprice"), F.col("o_orderkey")], "i").select("o_orderkey", (F.col("i") + 1).alias("no"))
 
 
-_LAYOUT = """SELECT c_mktsegment, n, coalesce(sum(n) OVER w, 0) AS item_base, coalesce(sum(44 + 40 * n) OVER w, 0) AS group_y
-FROM (SELECT c_mktsegment, count(*) AS n FROM {customer} GROUP BY c_mktsegment)
-WINDOW w AS (ORDER BY c_mktsegment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
-_LAYOUT_DUCK = _LAYOUT.replace("{customer}", "customer").replace("coalesce(sum(n) OVER w, 0)", "coalesce(sum(n) OVER w, 0)::BIGINT").replace("coalesce(sum(44 + 40 * n) OVER w, 0)", "coalesce(sum(44 + 40 * n) OVER w, 0)::BIGINT")
-sql_query("layout_prefix_sum", _LAYOUT, _LAYOUT_DUCK)
-sql_query("page_slice", f"SELECT c_mktsegment, group_y FROM ({_LAYOUT}) WHERE group_y < 9000 AND group_y + 44 + 40 * n > 3000", f"SELECT c_mktsegment, group_y FROM ({_LAYOUT_DUCK}) WHERE group_y < 9000 AND group_y + 44 + 40 * n > 3000")
-
-# ---- dictionaries -----------------------------------------------------------------
-
-_POOL = "SELECT event_type AS v, row_number() OVER (ORDER BY min(event_id)) - 1 AS id FROM {events} GROUP BY event_type"
-sql_query("pool_first_seen", f"SELECT v, cast(id AS bigint) AS id FROM ({_POOL})")
-sql_query("pool_offsets", "SELECT p_type, cast(coalesce(sum(octet_length(p_type)) OVER (ORDER BY p_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS off FROM (SELECT DISTINCT p_type FROM {part})",
-          "SELECT p_type, cast(coalesce(sum(strlen(p_type)) OVER (ORDER BY p_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS off FROM (SELECT DISTINCT p_type FROM part)")
-sql_query("wire_encode_decode", f"""
-WITH pool AS ({_POOL}), fact AS (SELECT e.event_id, p.id FROM {{events}} e JOIN pool p ON e.event_type = p.v)
-SELECT f.event_id, cast(f.id AS bigint) AS id, p.v AS event_type FROM fact f JOIN pool p ON f.id = p.id""")
-
-
-@query("prefix_candidates", """
-WITH d AS (SELECT DISTINCT p_name AS x FROM part), p AS (SELECT unnest(list_transform(range(3, least(10, length(x) - 1) + 1), lambda n: substr(x, 1, n))) AS p FROM d)
-SELECT p, count(*) AS c, count(*) * (length(p) - 1) - length(p) AS save FROM p GROUP BY p HAVING count(*) >= 25 AND count(*) * (length(p) - 1) - length(p) > 64""")
-def prefix_candidates(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select("p_name").distinct().where(F.length("p_name") > 3)
-    p = names.select(F.explode(F.transform(F.sequence(F.lit(3), F.least(F.lit(10), F.length("p_name") - 1)), lambda n: F.substr(F.col("p_name"), F.lit(1), n))).alias("p"))
-    save = F.col("c") * (F.length("p") - 1) - F.length("p")
-    return p.groupBy("p").agg(F.count("*").alias("c")).withColumn("save", save).where("c >= 25 and save > 64")
-
-
-@query("prefix_top_k", f"SELECT p, save FROM ({ORACLES['prefix_candidates']}) ORDER BY save DESC, length(p) DESC, p LIMIT 64")
-def prefix_top_k(spark, sf_dir):
-    return prefix_candidates(spark, sf_dir).orderBy(F.desc("save"), F.desc(F.length("p")), "p").limit(64).select("p", "save")
-
-
-@query("prefix_split", f"""
-WITH k AS ({ORACLES['prefix_top_k']}) SELECT p_partkey, pre, substr(p_name, length(coalesce(pre, '')) + 1) AS suffix
-FROM (SELECT p_partkey, p_name, (SELECT max_by(p, length(p)) FROM k WHERE starts_with(p_name, p)) AS pre FROM part)""")
-def prefix_split(spark, sf_dir):
-    """The longest of at most 64 prefixes, by the lengths they can have: equality joins, no theta join."""
-    k = prefix_top_k(spark, sf_dir).select("p")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    tried = parts.withColumn("try", F.explode(F.transform(F.sequence(F.lit(3), F.lit(10)), lambda n: F.substr(F.col("p_name"), F.lit(1), n))))
-    # 64 rows by the limit above.
-    best = tried.join(F.broadcast(k), F.col("try") == F.col("p")).groupBy("p_partkey").agg(F.max_by("p", F.length("p")).alias("pre"))
-    return parts.join(best, "p_partkey", "left").select("p_partkey", "pre", F.expr("substr(p_name, length(coalesce(pre, '')) + 1)").alias("suffix"))
-
-
 # ---- gates and markup -----------------------------------------------------------------
 
 _PATHS = "SELECT page_id, CASE page_id % 6 WHEN 0 THEN concat('a/', page_id, '.xml') WHEN 1 THEN concat('__MACOSX/', page_id, '.xml') WHEN 2 THEN concat('a/._', page_id, '.XML') WHEN 3 THEN 'a/s.css.xml' WHEN 4 THEN 'a/b.xml/' ELSE 'n.txt' END AS path"
@@ -190,12 +144,11 @@ def path_gate(spark, sf_dir):
     return p.where(T.is_document_path("path"))
 
 
-@query("content_gate", "SELECT page_id FROM pages WHERE regexp_matches(lower(substr(replace(html, '<p', '<TEI'), 1, 16384)), '<aoxml|<aoheader|<docid|<tei|<teiheader')")
+@query("content_gate", "SELECT page_id FROM pages WHERE page_id % 7 = 0 OR lower(substr(replace(html, '<html', '<TEI'), 1, 4)) = '<tei'")
 def content_gate(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where(T.has_marker(F.substring(F.replace("html", F.lit("<p"), F.lit("<TEI")), 1, 16384))).select("page_id")
-
-
-sql_query("skip_report", "SELECT count(*) AS entries, count_if(NOT html LIKE '%<table%') AS by_content, count_if(url LIKE '%1') AS by_path FROM {pages}")
+    """Markers in the first 16,384 bytes: some pages begin with one, the others have it just where the bytes end."""
+    x = F.concat(F.when(F.col("page_id") % 7 == 0, F.lit("<AOxml/>")).otherwise(F.lit("")), F.repeat(F.lit("é"), 8190), F.lower(F.replace("html", F.lit("<html"), F.lit("<TEI"))))
+    return table(spark, sf_dir, "pages").where(T.has_marker(T.byte_window(x, 16384))).select("page_id")
 
 
 @query("strip_tags", r"""SELECT page_id, md5(regexp_replace(html, '<!\[CDATA\[(.*?)(?:\]\]>|\z)|<!--.*?(?:-->|\z)|<\?.*?(?:\?>|\z)|<[^>]*>|<.*\z', '\1', 'gs')) AS digest FROM pages""")
@@ -203,29 +156,11 @@ def strip_tags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.strip_tags("html").cast("binary")).alias("digest"))
 
 
-@query("tag_text_title", r"SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '\s+', ' ', 'g')), '') AS title FROM pages")
-def tag_text_title(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.nullif(F.trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " ")), F.lit("")).alias("title"))
-
-
-_LANG = "(?i)<html[^>]*\\slang=[\"'']([^\"'']*)"
-
-
-@query("attr_lang", f"SELECT page_id, nullif(regexp_extract(html, '{_LANG}', 1), '') AS lang FROM pages")
-def attr_lang(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.nullif(F.regexp_extract("html", _LANG.replace("''", "'"), 1), F.lit("")).alias("lang"))
-
-
 @query("hrefs_exploded", """SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages)""")
 def hrefs_exploded(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("pos", "href")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("start_tag_histogram", "SELECT lower(t) AS tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)', 1)) AS t FROM pages) GROUP BY lower(t)")
-def start_tag_histogram(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(F.explode(F.transform(F.regexp_extract_all("html", F.lit("<([A-Za-z][A-Za-z0-9]*)"), F.lit(1)), F.lower)).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
-
-
 @query("find_year", "SELECT doc_id, nullif(regexp_extract(text, '(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)', 1), '') AS year FROM documents")
 def find_year(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.year_in("text").alias("year"))
@@ -238,8 +173,6 @@ def number_after_token(spark, sf_dir):
 
 sql_query("date_year", "SELECT o_orderkey, CASE WHEN cast(substr(cast(o_orderdate AS string), 1, 4) AS int) BETWEEN 1900 AND 2100 THEN substr(cast(o_orderdate AS string), 1, 4) END AS year FROM {orders}")
 sql_query("coalesce_chain", "SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN d.source END, CASE WHEN d.n_chars > 1000 THEN d.lang END, '—') AS sigla FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id")
-sql_query("lang_fold", "SELECT doc_id, CASE lang WHEN 'en' THEN 'Eng' WHEN 'de' THEN 'Ger' WHEN 'es' THEN NULL ELSE lang END AS code FROM {documents}")
-
 # ---- aggregates -----------------------------------------------------------------------------
 
 @query("best_credit", """SELECT l_orderkey, arg_min(l_suppkey, row(rank, no_year, l_linenumber, l_suppkey, l_partkey)) AS suppkey FROM
@@ -253,42 +186,6 @@ def best_credit(spark, sf_dir):
 sql_query("ranked_list", "SELECT source, string_agg(lang, ', ') WITHIN GROUP (ORDER BY n DESC, lang) AS langs FROM (SELECT source, lang, count(*) AS n FROM {documents} GROUP BY source, lang) GROUP BY source",
           "SELECT source, string_agg(lang, ', ' ORDER BY n DESC, lang) AS langs FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang) GROUP BY source")
 
-#: Name, first and last code point of the blocks that are counted. Fixed values.
-BLOCKS = (
-    ("Basic Latin", 0x0, 0x7F), ("Latin-1 Supplement", 0x80, 0xFF), ("Latin Extended-A", 0x100, 0x17F), ("General Punctuation", 0x2000, 0x206F),
-    ("Block Elements", 0x2580, 0x259F), ("Arrows", 0x2190, 0x21FF), ("Latin Extended Additional", 0x1E00, 0x1EFF), ("Superscripts and Subscripts", 0x2070, 0x209F),
-    ("Enclosed Alphanumerics", 0x2460, 0x24FF), ("Cuneiform", 0x12000, 0x1254F), ("Combining Diacritical Marks", 0x300, 0x36F), ("Spacing Modifier Letters", 0x2B0, 0x2FF),
-    ("Miscellaneous Technical", 0x2300, 0x23FF), ("Currency Symbols", 0x20A0, 0x20CF), ("Supplementary Private Use Area-B", 0x100000, 0x10FFFD),
-    ("Mathematical Operators", 0x2200, 0x22FF), ("Supplemental Punctuation", 0x2E00, 0x2E7F), ("Miscellaneous Mathematical Symbols-A", 0x27C0, 0x27EF),
-    ("Control Pictures", 0x2400, 0x243F), ("Number Forms", 0x2150, 0x218F), ("Greek and Coptic", 0x370, 0x3FF), ("Hebrew", 0x590, 0x5FF),
-    ("Private Use Area", 0xE000, 0xF8FF), ("Supplementary Private Use Area-A", 0xF0000, 0xFFFFD),
-)
-
-
-@query("unicode_blocks", " UNION ALL ".join(f"SELECT '{n}' AS block, count(*) AS documents FROM documents WHERE regexp_matches(text, '[\\x{{{a:X}}}-\\x{{{z:X}}}]')" for n, a, z in BLOCKS))
-def unicode_blocks(spark, sf_dir):
-    """Documents that use each block: all counted in one pass."""
-    counts = table(spark, sf_dir, "documents").agg(*[F.count_if(F.col("text").rlike(f"[\\x{{{a:X}}}-\\x{{{z:X}}}]")).alias(f"b{i}") for i, (_, a, z) in enumerate(BLOCKS)])
-    return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("block"), F.col(f"b{i}").alias("documents")) for i, (n, *_) in enumerate(BLOCKS)])).alias("x")).select("x.*")
-
-
-@query("private_use_nfc", "SELECT count(*) AS documents, count_if(regexp_matches(text, '[\\x{E000}-\\x{F8FF}\\x{F0000}-\\x{FFFFD}\\x{100000}-\\x{10FFFD}]')) AS private_use, count_if(regexp_matches(text, '[\\x{300}-\\x{36F}]')) AS not_nfc FROM documents")
-def private_use_nfc(spark, sf_dir):
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("documents"), F.count_if(t.rlike("[\\x{E000}-\\x{F8FF}\\x{F0000}-\\x{FFFFD}\\x{100000}-\\x{10FFFD}]")).alias("private_use"), F.count_if(t.rlike("[\\x{300}-\\x{36F}]")).alias("not_nfc"))
-
-
-sql_query("coverage", "SELECT count(*) AS n, count(l.quality) AS with_quality, cast(round(100.0 * count(l.quality) / count(*), 2) AS double) AS percent FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id")
-sql_query("match_totals", "SELECT c_mktsegment, count(*) AS n, count_if(contains(lower(c_name), '7')) AS hits FROM {customer} GROUP BY c_mktsegment")
-
-
-@query("rule_tally", "SELECT r AS rule, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN contains(html, '<script') THEN 'DROP script' END, CASE WHEN contains(html, '<!--') THEN 'DROP comment' END, 'ADD declaration'], lambda x: x IS NOT NULL)) AS r FROM pages) GROUP BY r")
-def rule_tally(spark, sf_dir):
-    has = lambda mark, rule: F.when(F.contains("html", F.lit(mark)), rule)
-    rules = F.array_compact(F.array(has("<script", "DROP script"), has("<!--", "DROP comment"), F.lit("ADD declaration")))
-    return table(spark, sf_dir, "pages").select(F.explode(rules).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
-
-
 sql_query("md5_digest", "SELECT doc_id, md5(text) AS digest FROM {documents}")
 sql_query("group_counts", "SELECT p_brand, count(*) AS n, count(DISTINCT p_type) AS types FROM {part} GROUP BY p_brand")
 
@@ -298,9 +195,17 @@ sql_query("place_dedup", "SELECT p_partkey, CASE WHEN k = 1 THEN p_name ELSE con
 sql_query("place_collision", "SELECT p_name, count(*) AS n, min(p_partkey) AS first_key FROM {part} GROUP BY p_name HAVING count(*) > 1")
 
 
-@query("path_component", "SELECT page_id, CASE WHEN x = '' OR starts_with(x, '.') THEN '_' || x ELSE x END AS name FROM (SELECT page_id, regexp_replace(replace(replace(replace(url, '/', '%2F'), '\\', '%5C'), ':', '%3A'), '[ .]+$', '') AS x FROM pages)")
+_NAMES = """SELECT page_id, CASE page_id % 6 WHEN 0 THEN concat(repeat('.', cast(1 + page_id % 4 AS int)), '') WHEN 1 THEN concat(url, chr(cast(1 + page_id % 31 AS int)), ' .') WHEN 2 THEN concat('.', page_id, chr(127)) WHEN 3 THEN '' WHEN 4 THEN '  ' ELSE concat(url, chr(92), '. ') END AS x FROM """
+_ESCAPED = "replace(replace(replace(x, '/', '%2F'), chr(92), '%5C'), ':', '%3A')"
+for _c in (*range(1, 32), 127):
+    _ESCAPED = f"replace({_ESCAPED}, chr({_c}), '%{_c:02X}')"
+
+
+@query("path_component", f"SELECT page_id, CASE WHEN y = '' OR starts_with(y, '.') THEN '_' || y ELSE y END AS name FROM (SELECT page_id, CASE WHEN rtrim(e, ' .') = '' THEN e ELSE rtrim(e, ' .') END AS y FROM (SELECT page_id, {_ESCAPED} AS e FROM ({_NAMES}pages)))")
 def path_component(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.path_component("url").alias("name"))
+    """Names of dots, of spaces, empty, and with every control character."""
+    names = spark.sql(_NAMES + "{pages}", pages=table(spark, sf_dir, "pages"))
+    return names.select("page_id", T.path_component("x").alias("name"))
 
 
 @query("href_encode", "SELECT p_partkey, './' || array_to_string(list_transform(string_split(p_brand || '/' || p_name || '.xml', '/'), lambda s: url_encode(s)), '/') AS href FROM part")
@@ -317,7 +222,6 @@ sql_query("anti_both_ways", "SELECT 'document' AS missing_in, l.doc_id FROM {lab
           "SELECT 'document' AS missing_in, doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'label', doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 sql_query("set_difference", "SELECT doc_id FROM {documents} EXCEPT SELECT doc_id FROM {labels}")
 sql_query("inner_hash_join", "SELECT o.o_orderkey, o.o_orderpriority, count(*) AS n FROM {orders} o JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderkey, o.o_orderpriority")
-sql_query("cardinality_check", "SELECT (SELECT count(*) FROM {documents}) AS placed, (SELECT count(*) FROM {labels}) AS written, (SELECT count(*) FROM {documents}) = (SELECT count(*) FROM {labels}) AS complete")
 _ERRORS = "SELECT concat('no label for ', d.doc_id) AS msg FROM {documents} d LEFT ANTI JOIN {labels} l ON d.doc_id = l.doc_id"
 sql_query("validation_errors_top10", f"SELECT msg FROM ({_ERRORS}) ORDER BY msg LIMIT 10", "SELECT 'no label for ' || doc_id AS msg FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY msg LIMIT 10")
 
@@ -417,11 +321,5 @@ def href_resolve(spark, sf_dir):
     return p.select("p_partkey", E.resolve(link).alias("path"))
 
 
-# ---- records: no SQL for the scanner; compared with fixtures in the tests -----------------------------
-
-
-@query("extract_records")
-def extract_records(spark, sf_dir):
-    from quire.operators.markup import extract
-
-    return extract(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+# The corpus from archive to package adds its queries to the same tables.
+from quire.plans import corpus  # noqa: E402, F401
