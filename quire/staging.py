@@ -12,13 +12,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The temporary folder of each local session without one of its own.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests, local mode)."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one in local mode, and nothing on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='quire-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='quire-')}"
+    return _LOCAL[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
