@@ -83,6 +83,12 @@ def year_in(x: Column | str) -> Column:
     return F.nullif(F.regexp_extract(col(x), "(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", 1), F.lit(""))
 
 
+def date_year(x: Column | str) -> Column:
+    """The leading four digits of a date, if they are a year from 1900 to 2100; what follows them isn't looked at."""
+    y = F.regexp_extract(col(x), "^\\s*([0-9]{4})", 1)
+    return F.when(y.between("1900", "2100"), y)
+
+
 def number_after(x: Column | str, token: str) -> Column:
     """Digits and dots after a token (any case) and white space, without trailing dots."""
     return F.nullif(F.rtrim(F.regexp_extract(col(x), f"(?i){token}\\s*([0-9][0-9.]*)", 1), F.lit(".")), F.lit(""))

@@ -380,11 +380,15 @@ def faults(spark: SparkSession, root: str, placed: DataFrame) -> DataFrame:
     return out.unionByName(spark.createDataFrame([(x,) for x in wrong], "message string"))
 
 
+def first_faults(messages: DataFrame, most: int = 10) -> DataFrame:
+    """The first faults by their text, each with the number of all."""
+    return messages.orderBy("message").limit(most).withColumn("n", F.lit(messages.count()))
+
+
 def refuse(messages: DataFrame, most: int = 10) -> None:
-    """Raise with the number of messages and the first ten, if there are any."""
-    n = messages.count()
-    if n:
-        raise Invalid(f"{n} faults: " + "; ".join(r.message for r in messages.orderBy("message").limit(most).collect()))
+    """Raise with the number of faults and the first ten, if there are any."""
+    if rows := first_faults(messages, most).collect():
+        raise Invalid(f"{rows[0].n} faults: " + "; ".join(r.message for r in rows))
 
 
 def build_package(spark: SparkSession, inv: DataFrame, content: str, source_path: str, target: str, title: str = "Inventory", source: str = "", archive_md5: str = "") -> dict:
@@ -392,7 +396,7 @@ def build_package(spark: SparkSession, inv: DataFrame, content: str, source_path
 
     An older package at target is moved aside and brought back if the new one can't take its place. Returns counts.
     """
-    from quire.operators.inventory import GROUP_INDEX, group_label, group_pages, shown, write_page
+    from quire.operators.inventory import GROUP_INDEX, group_label, group_rows, shown, write_page
     from quire.staging import stage
 
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -416,10 +420,10 @@ def build_package(spark: SparkSession, inv: DataFrame, content: str, source_path
         raise Distorted("; ".join(f"{r.relative}: {r.error}" for r in bad))
     folder = T.path_component(group_label())
     write_page(placed, f"{scratch}/{INVENTORY_PAGE}", title, source, "", T.href("relative"), T.href(F.concat(folder, F.lit(f"/{GROUP_INDEX}"))))
-    pages = group_pages(placed, "relative", "__label", INVENTORY_PAGE)
+    rows = group_rows(placed, "relative", "__label", INVENTORY_PAGE)
     # Runs of one label share a folder: the last one's page stands, as the inventory's order has it.
-    last = pages.groupBy("label").agg(F.max_by("html", "run").alias("html"))
-    _write_pages(last.select(F.concat(T.path_component("label"), F.lit(f"/{GROUP_INDEX}")).alias("relative"), "html"), scratch)
+    last = placed.groupBy(group_label().alias("label")).agg(F.max("run").alias("run"))
+    _write_pages(rows.join(last, ["label", "run"]).select(F.concat(T.path_component("label"), F.lit(f"/{GROUP_INDEX}")).alias("relative"), "at", "html"), scratch)
     write_manifest(placed, content, f"{scratch}/{MANIFEST}", target.rstrip("/").rpartition("/")[2], source, archive_md5)
     refuse(faults(spark, scratch, placed))
     aside = f"{target.rstrip('/')}.old"
@@ -438,24 +442,35 @@ def build_package(spark: SparkSession, inv: DataFrame, content: str, source_path
     return {"documents": documents, "stylesheets": n["stylesheets"], "disambiguated": n["disambiguated"]}
 
 
-def _write_pages(pages: DataFrame, root: str) -> None:
-    """Small files (relative, html) under root; written again by a repeated task."""
+def _write_pages(rows: DataFrame, root: str) -> None:
+    """Files under root from their rows (relative, at, html), each streamed as its rows come; written again by a repeated task."""
     import pyarrow as pa
 
     def write(batches):
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(root)
-        for b in batches:
-            for relative, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                path = f"{base}/{relative}"
-                system.create_dir(path.rpartition("/")[0], recursive=True)
-                with system.open_output_stream(f"{path}.part") as f:
-                    f.write(html.encode())
+        path, out, n = None, None, 0
+
+        def close():
+            if out is not None:
+                out.close()
                 system.move(f"{path}.part", path)
-            yield pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int64())], names=["n"])
 
-    pages.select("relative", "html").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+        for b in batches:
+            for relative, html in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if f"{base}/{relative}" != path:
+                    close()
+                    path, n = f"{base}/{relative}", n + 1
+                    system.create_dir(path.rpartition("/")[0], recursive=True)
+                    out = system.open_output_stream(f"{path}.part")
+                out.write(html.encode())
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("relative", "at", "html").repartition(parts, "relative").sortWithinPartitions("relative", "at")
+    dealt.mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
 def publish(spark: SparkSession, placed: DataFrame, content: str, target: str, *columns: str) -> DataFrame:

@@ -57,16 +57,16 @@ def with_runs(ranked: DataFrame, label: Column, rank: str = "rank", out: str = "
     Rows are dealt in blocks of ranks and compared with the row before inside the block; one row
     a block carries its last label to the next, so no join over all rows and no single task.
     """
-    block = F.floor(F.col(rank) / F.lit(_BLOCK)).cast("long")
     w = Window.partitionBy("__block").orderBy(rank)
-    blocks = ranked.withColumns({"__label": label, "__block": block}).withColumn("__before", F.lag(F.struct(F.col("__label").alias("x"))).over(w))
-    staged = stage(blocks, "runs")
-    lasts = staged.groupBy("__block").agg(F.max_by(F.struct(F.col("__label").alias("x")), rank).alias("__last")).select((F.col("__block") + 1).alias("__block"), "__last")
-    starts = staged.join(lasts, "__block", "left").withColumn("__prev", F.coalesce("__before", "__last"))
-    new = F.when(F.col("__prev").isNull() | ~F.col("__prev.x").eqNullSafe(F.col("__label")), 1).otherwise(0).cast("long")
+    blocks = ranked.withColumns({"__label": F.struct(label.alias("x")), "__block": F.floor(F.col(rank) / F.lit(_BLOCK)).cast("long")})
+    lasts = blocks.groupBy("__block").agg(F.max_by("__label", rank).alias("__last")).select((F.col("__block") + 1).alias("__block"), "__last")
+    before = F.coalesce(F.lag("__label").over(w), F.col("__last"))
+    new = F.when(before.isNull() | ~before["x"].eqNullSafe(F.col("__label")["x"]), 1).otherwise(0).cast("long")
     inside = F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    local = stage(starts.withColumn("__new", new).withColumn("__inside", inside).drop("__before", "__last", "__prev", "__label", "__new"), "runs")
-    sums = running_sum(local.groupBy("__block").agg(F.max("__inside").alias("n")), [F.col("__block")], "n", "__base").select("__block", "__base")
+    marked = blocks.join(lasts, "__block", "left").withColumn("__new", new).withColumn("__inside", inside)
+    local = stage(marked.drop("__last", "__label", "__new"), "runs")
+    # One row a block of _BLOCK rows: the running sum over them is a small task.
+    sums = local.groupBy("__block").agg(F.max("__inside").alias("n")).select("__block", F.coalesce(F.sum("n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     return local.join(sums, "__block").withColumn(out, F.col("__base") + F.col("__inside") - 1).drop("__block", "__base", "__inside")
 
 
@@ -176,21 +176,21 @@ def thousands(n: Column) -> Column:
     return F.format_number(n, 0)
 
 
-def group_pages(inv: DataFrame, file: str, label: str, back: str) -> DataFrame:
-    """(run, label, html): the page of each run, its records listed with links to their files.
+def group_rows(inv: DataFrame, file: str, label: str, back: str) -> DataFrame:
+    """(run, label, at, html): the page of each run row by row, the records listed with links to their files.
 
-    A run's page is one value by nature; rows are sorted by place inside it.
+    The first row has the page's head and the last one its tail, so a page of any length is never one value.
     """
     dim = F.concat_ws(" · ", *[T.html_escape(shown(c)) for c in ("lang", "authorship", "year")])
     name = F.element_at(F.split(file, "/"), -1)
     line = F.concat(F.lit("  <li>"), _link(T.href(name), T.html_escape(F.col(label))), F.lit('<span class="dim">'), dim, F.lit("</span></li>\n"))
-    runs = inv.withColumn("__line", line).groupBy("run").agg(F.first(group_label()).alias("label"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("at", "__line"))).alias("lines"))
-    title = T.html_escape("label")
-    html = F.concat(
+    title = T.html_escape(group_label())
+    head = F.concat(
         F.lit('<!DOCTYPE html>\n<html lang="en">\n<head>\n<meta charset="utf-8">\n<title>'), title, F.lit("</title>\n</head>\n<body>\n<h1>"), title, F.lit('</h1>\n<p class="meta">'),
-        plural(F.col("n"), "manuscript", "manuscripts"), F.lit(f' · <a href="../{back}">back to the inventory</a></p>\n<ul>\n'), F.array_join(F.col("lines.__line"), ""), F.lit("</ul>\n</body>\n</html>\n"),
+        plural(F.col("run_size"), "manuscript", "manuscripts"), F.lit(f' · <a href="../{back}">back to the inventory</a></p>\n<ul>\n'),
     )
-    return runs.select("run", "label", html.alias("html"))
+    tail = F.when(F.col("at") == F.col("run_size") - 1, F.lit("</ul>\n</body>\n</html>\n")).otherwise(F.lit(""))
+    return inv.select("run", group_label().alias("label"), "at", F.concat(F.when(F.col("at") == 0, head).otherwise(F.lit("")), line, tail).alias("html"))
 
 
 # ---- the filter over a page, and parts of it --------------------------------------------------------

@@ -87,10 +87,14 @@ def search_alias_expand(spark, sf_dir):
     return S.with_aliases(c, "editor")
 
 
-sql_query("search_missing_not_searchable", """
-SELECT d.doc_id, lower(concat_ws(chr(10), d.source, cast(l.quality AS string))) AS hay
-FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id
-WHERE NOT contains(lower(concat_ws(chr(10), d.source, cast(l.quality AS string))), '—')""")
+
+@query("search_missing_not_searchable", "SELECT d.doc_id AS item, lower(concat_ws(chr(10), d.source, l.quality)) AS hay FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE NOT contains(lower(concat_ws(chr(10), d.source, l.quality)), '—')")
+def search_missing_not_searchable(spark, sf_dir):
+    """Missing values are no text of the index: the marker finds none of them."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    idx = S.index(rows, "source", "source", "doc_id", ["source", "quality"])
+    return idx.where(~F.contains("hay", F.lit("—"))).select("item", "hay")
+
 
 sql_query("search_dictionary_semijoin", """
 SELECT l_returnflag, count(*) AS n FROM {lineitem} l
@@ -171,8 +175,15 @@ def number_after_token(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.number_after("p_brand", "brand#").alias("no"))
 
 
-sql_query("date_year", "SELECT o_orderkey, CASE WHEN cast(substr(cast(o_orderdate AS string), 1, 4) AS int) BETWEEN 1900 AND 2100 THEN substr(cast(o_orderdate AS string), 1, 4) END AS year FROM {orders}")
-sql_query("coalesce_chain", "SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN d.source END, CASE WHEN d.n_chars > 1000 THEN d.lang END, '—') AS sigla FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id")
+_DATES = "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN concat(' ', cast(o_orderdate AS {s})) WHEN 1 THEN '20170328' WHEN 2 THEN concat('in ', cast(o_orderdate AS {s})) WHEN 3 THEN concat(o_orderkey % 4000, '-01') ELSE cast(o_orderdate AS {s}) END AS d FROM "
+
+
+@query("date_year", f"SELECT o_orderkey, CASE WHEN regexp_extract(d, '^\\s*([0-9]{{4}})', 1) BETWEEN '1900' AND '2100' THEN regexp_extract(d, '^\\s*([0-9]{{4}})', 1) END AS year FROM ({_DATES.format(s='varchar')}orders)")
+def date_year(spark, sf_dir):
+    dates = spark.sql(_DATES.format(s="string") + "{orders}", orders=table(spark, sf_dir, "orders"))
+    return dates.select("o_orderkey", T.date_year("d").alias("year"))
+
+
 # ---- aggregates -----------------------------------------------------------------------------
 
 @query("best_credit", """SELECT l_orderkey, arg_min(l_suppkey, row(rank, no_year, l_linenumber, l_suppkey, l_partkey)) AS suppkey FROM
@@ -187,12 +198,9 @@ sql_query("ranked_list", "SELECT source, string_agg(lang, ', ') WITHIN GROUP (OR
           "SELECT source, string_agg(lang, ', ' ORDER BY n DESC, lang) AS langs FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang) GROUP BY source")
 
 sql_query("md5_digest", "SELECT doc_id, md5(text) AS digest FROM {documents}")
-sql_query("group_counts", "SELECT p_brand, count(*) AS n, count(DISTINCT p_type) AS types FROM {part} GROUP BY p_brand")
 
 # ---- placement, names, joins, validation ---------------------------------------------------------
 
-sql_query("place_dedup", "SELECT p_partkey, CASE WHEN k = 1 THEN p_name ELSE concat(p_name, ' (', p_brand, ')') END AS label, cast(k AS bigint) AS k FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM {part})")
-sql_query("place_collision", "SELECT p_name, count(*) AS n, min(p_partkey) AS first_key FROM {part} GROUP BY p_name HAVING count(*) > 1")
 
 
 _NAMES = """SELECT page_id, CASE page_id % 6 WHEN 0 THEN concat(repeat('.', cast(1 + page_id % 4 AS int)), '') WHEN 1 THEN concat(url, chr(cast(1 + page_id % 31 AS int)), ' .') WHEN 2 THEN concat('.', page_id, chr(127)) WHEN 3 THEN '' WHEN 4 THEN '  ' ELSE concat(url, chr(92), '. ') END AS x FROM """
@@ -218,12 +226,24 @@ def pdf_name(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(F.concat("p_name", F.lit(".xml")), r"\.xml$", ".pdf").alias("pdf"))
 
 
-sql_query("anti_both_ways", "SELECT 'document' AS missing_in, l.doc_id FROM {labels} l LEFT ANTI JOIN {documents} d ON l.doc_id = d.doc_id UNION ALL SELECT 'label', d.doc_id FROM {documents} d LEFT ANTI JOIN {labels} l ON l.doc_id = d.doc_id",
-          "SELECT 'document' AS missing_in, doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'label', doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-sql_query("set_difference", "SELECT doc_id FROM {documents} EXCEPT SELECT doc_id FROM {labels}")
-sql_query("inner_hash_join", "SELECT o.o_orderkey, o.o_orderpriority, count(*) AS n FROM {orders} o JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderkey, o.o_orderpriority")
-_ERRORS = "SELECT concat('no label for ', d.doc_id) AS msg FROM {documents} d LEFT ANTI JOIN {labels} l ON d.doc_id = l.doc_id"
-sql_query("validation_errors_top10", f"SELECT msg FROM ({_ERRORS}) ORDER BY msg LIMIT 10", "SELECT 'no label for ' || doc_id AS msg FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY msg LIMIT 10")
+
+
+@query("anti_both_ways", "SELECT 'documents' AS missing_in, doc_id::VARCHAR AS relative FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'labels of documents', doc_id::VARCHAR FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_both_ways(spark, sf_dir):
+    """Documents without a label, and labels without a document."""
+    from quire.operators import export as E
+
+    ids = lambda t: table(spark, sf_dir, t).select(F.col("doc_id").cast("string").alias("relative"))
+    return E.violations({"labels": ids("labels"), "documents": ids("documents")})
+
+
+@query("validation_errors_top10", "SELECT message, count(*) OVER () AS n FROM (SELECT 'no label for ' || doc_id AS message FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) ORDER BY message LIMIT 10")
+def validation_errors_top10(spark, sf_dir):
+    """The first ten faults and how many there are in all."""
+    from quire.operators import export as E
+
+    missing = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select(F.concat(F.lit("no label for "), "doc_id").alias("message"))
+    return E.first_faults(missing)
 
 
 @query("html_escape", "SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS digest FROM pages")

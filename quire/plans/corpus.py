@@ -157,15 +157,16 @@ def html_page(spark, sf_dir):
     return page.select(F.size(found('<td class="num">')).cast("long").alias("rows"), F.size(found('<tr class="group">')).cast("long").alias("headings"), told.alias("counts"))
 
 
-@query("group_pages", f"""SELECT run, label, count(*) AS n, md5(string_agg(concat(sigla, '|', {_shown('lang')}, '|', {_shown('authorship')}, '|', year), chr(10) ORDER BY at)) AS digest FROM {_INV} GROUP BY run, label""")
-def group_pages(spark, sf_dir):
-    """The pages' lines read back from their HTML."""
+@query("group_page_rows", f"""SELECT run, label, at, sigla, {_shown('lang')} AS lang, {_shown('authorship')} AS authorship, year, CASE WHEN at = 0 THEN run_size END AS n, at = run_size - 1 AS last
+FROM (SELECT * REPLACE (coalesce(year, '{_M}') AS year) FROM {_INV})""")
+def group_page_rows(spark, sf_dir):
+    """The groups' pages, their lines read back from the HTML."""
     inv = _inventory(spark, sf_dir).withColumn("file", F.concat(F.lit("g/"), T.path_component("sigla"), F.lit(".xml")))
-    pages = inventory.group_pages(inv, "file", "sigla", "inventory.html")
+    rows = inventory.group_rows(inv, "file", "sigla", "inventory.html")
     item = r'<li><a href="[^"]*" target="_blank" rel="noopener">([^<]*)</a><span class="dim">([^<]*) · ([^<]*) · ([^<]*)</span></li>'
-    lines = [F.regexp_extract_all("html", F.lit(item), F.lit(k)) for k in (1, 2, 3, 4)]
-    joined = F.array_join(F.transform(F.arrays_zip(*[x.alias(f"c{i}") for i, x in enumerate(lines)]), lambda z: F.concat_ws("|", *[z[f"c{i}"] for i in range(4)])), "\n")
-    return pages.select("run", "label", F.regexp_extract("html", r'class="meta">(\d+) manuscripts?', 1).cast("long").alias("n"), F.md5(joined.cast("binary")).alias("digest"))
+    fields = [F.regexp_extract("html", item, k).alias(c) for k, c in enumerate(("sigla", "lang", "authorship", "year"), 1)]
+    n = F.regexp_extract("html", r'class="meta">(\d+) manuscripts?', 1)
+    return rows.select("run", "label", "at", *fields, F.nullif(n, F.lit("")).cast("long").alias("n"), F.endswith("html", F.lit("</html>\n")).alias("last"))
 
 
 _CELLS = f"lower(concat_ws(chr(10), {_NAME}, {_shown('lang')}, {_shown('corpus')}, {_shown('authorship')}, {_shown('year')}))"

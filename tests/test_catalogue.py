@@ -18,6 +18,23 @@ def duck():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_inventory():
+    """The queries over the same inventory share one here; `inventory_order` and others compare it with SQL."""
+    from quire.plans import corpus
+
+    made, build = {}, corpus._inventory
+
+    def kept(spark, sf_dir):
+        if sf_dir not in made:
+            made[sf_dir] = build(spark, sf_dir)
+        return made[sf_dir]
+
+    corpus._inventory = kept
+    yield
+    corpus._inventory = build
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_oracle(spark, duck, name):
     got = catalogue.QUERIES[name](spark, SF)
@@ -34,3 +51,18 @@ def test_oracle(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_the_optional_subpackage(tmp_path):
+    """A copy without the folders of the subpackage imports and has the other queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(entry.__file__).parent
+    shutil.copytree(root / "quire", tmp_path / "quire", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for f in ("__spark_entry__.py", *(["corpus_pipeline.py"] if (root / "corpus_pipeline.py").exists() else [])):
+        shutil.copy(root / f, tmp_path / f)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'extract_records' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
