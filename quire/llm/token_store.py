@@ -19,7 +19,7 @@ holds more than one segment and one batch.
 
 Defined results. Null text: empty, only the end id. A null doc_id sorts first
 and comes back null. Rows that share a doc_id are stored one after the other, in
-the order of their text. An empty table gives an empty store and no rows. Other
+the order of their text; equal rows each keep a place. An empty table gives an empty store and no rows. Other
 columns are ignored.
 """
 
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.tokens import encode_batch
-from quire.staging import new_path
+from quire.staging import new_path, stage
 
 MAGIC = b"QEF1"
 _SAMPLE = 256
@@ -65,16 +65,12 @@ class EliasFano:
         """The value at place i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at, left = int(self.samples[i // _SAMPLE]), i % _SAMPLE
-        byte = at // 8
-        word = int(self.high[byte]) >> (at % 8) << (at % 8)
-        while (ones := word.bit_count()) <= left:
-            left -= ones
-            byte += 1
-            word = int(self.high[byte])
-        for _ in range(left):
-            word &= word - 1
-        place = byte * 8 + (word & -word).bit_length() - 1
+        k = i // _SAMPLE
+        first = int(self.samples[k])
+        # Up to the next sample lie all the ones that can be meant.
+        end = int(self.samples[k + 1]) // 8 + 1 if k + 1 < len(self.samples) else len(self.high)
+        bits = np.unpackbits(self.high[first // 8 : end], bitorder="little")
+        place = first + int(np.flatnonzero(bits[first % 8 :])[i % _SAMPLE])
         return (place - i) << self.low_bits | self._low(i)
 
     def _low(self, i: int) -> int:
@@ -136,6 +132,9 @@ class Segment:
         self.names = EliasFano.read(h["docs"], h["doc_bits"], parts[3:6])
         self.ids = np.frombuffer(parts[6], "<u2" if h["width"] == 2 else "<u4")
 
+    def __len__(self) -> int:
+        return self.ends.n
+
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
@@ -173,37 +172,38 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(f"{path}/part-*").select("content")
 
 
-_HEADERS = "task int, segment int, docs long, ids long"
-_DOCUMENTS = "task int, segment int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
+#: A row a document, and one a segment whose n_tokens is null and whose local_start is all its ids.
+_ROWS = "task int, segment int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """One row a document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """One row a document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    Each file is read once; every document is found by select in its segment's boundaries.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
                 s = Segment(content.as_buffer())
-                ends = s.ends.all().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]])
-                wide = s.ids.astype("<u4")
-                crcs = [zlib.crc32(wide[a:z]) for a, z in zip(starts, ends)]
-                n = len(ends)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s.header["task"]] * n, pa.int32()), pa.array([s.header["segment"]] * n, pa.int32()), pa.array([None if x == _NULL_ID else x for x in s.doc_ids()], pa.int64()), pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crcs, pa.int64())],
-                    names=["task", "segment", "doc_id", "local_start", "n_tokens", "ids_crc32"],
-                )
-
-    def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [Segment(c.as_buffer()).header for c in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in got], t) for k, t in (("task", pa.int32()), ("segment", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64()))], names=["task", "segment", "docs", "ids"])
+                n, start = len(s), 0
+                starts, sizes, crcs = [], [], []
+                for i in range(n):
+                    end = s.ends.select(i)
+                    starts.append(start)
+                    sizes.append(end - start)
+                    crcs.append(zlib.crc32(s.ids[start:end].astype("<u4")))
+                    start = end
+                ids = [None if x == _NULL_ID else x for x in s.doc_ids()]
+                columns = [[s.header["task"]] * (n + 1), [s.header["segment"]] * (n + 1), [*ids, None], [*starts, start], [*sizes, None], [*crcs, None]]
+                types = (pa.int32(), pa.int32(), *[pa.int64()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in _ROWS.split(", ")])
 
     if not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-*")):
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    found = read_segments(spark, path)
+    rows = stage(read_segments(spark, path).mapInArrow(read, _ROWS), "documents")
     # One row a segment of millions of ids; a task's segments are summed first, and the tasks' sums are as many as the partitions.
-    heads = found.mapInArrow(headers, _HEADERS)
+    heads = rows.where("n_tokens is null").select("task", "segment", F.col("local_start").alias("ids"))
     tasks = sorted((r["task"], r["n"]) for r in heads.groupBy("task").agg(F.sum("ids").alias("n")).collect())
     bases, before = [], 0
     for task, n in tasks:
@@ -212,7 +212,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     base = spark.createDataFrame(bases, "task int, before long")
     within = F.sum("ids").over(_earlier())
     at = heads.join(F.broadcast(base), "task").select("task", "segment", (F.col("before") + F.coalesce(within, F.lit(0))).alias("base"))
-    return found.mapInArrow(read, _DOCUMENTS).join(at, ["task", "segment"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.where("n_tokens is not null").join(at, ["task", "segment"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def _earlier():

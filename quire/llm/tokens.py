@@ -13,14 +13,18 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Entries of each of the two generations of the cache, and the longest piece that is kept: about 250 MB at most.
-_CACHE = 700_000
+#: Entries of each of the two generations of the caches of words and of other pieces, and the longest
+#: that is kept: about 150 MB at most.
+_WORDS, _OTHERS = 350_000, 30_000
 _LONGEST = 48
 _PIECE = re.compile(r"[ \n]*[^\s]+(?=[ \n]|\Z)|.+?(?<=\S)(?=[ \n])|.+\Z", re.S)
+#: Letters that lower-casing and composing treat one by one.
+_SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ž]+")
 _LETTERS_THEN = re.compile(r"([ \n]*[^\W\d_]+)([!-/:-@\[-`{-~].*)", re.S)
 
 
@@ -36,6 +40,25 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class Cache:
+    """Two generations of bounded size; what isn't asked for in a whole generation is forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self._old = size, {}, {}
+
+    def get(self, key: str, make) -> bytes:
+        out = self.new.get(key)
+        if out is None:
+            out = self._old.get(key)
+            if out is None:
+                out = make(key)
+            if len(key) <= _LONGEST:
+                if len(self.new) >= self.size:
+                    self._old, self.new = self.new, {}
+                self.new[key] = out
+        return out
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes; what is kept in memory is bounded."""
 
@@ -46,54 +69,63 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         self._added = {x["content"]: np.asarray([x["id"]], "<u4").tobytes() for x in made["added_tokens"]}
-        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if self._added else None
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")")
         self._word_ends = bool(made["model"].get("end_of_word_suffix"))
         self._model = self.tokenizer.model
         self._bytes = _byte_letters()
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        #: A word here is what follows one space; its ids are those of the space and the word.
+        self._words, self._others = Cache(_WORDS), Cache(_OTHERS)
 
     def _plain(self, piece: str) -> str | None:
         """The form in which the merges alone give a piece's ids, or None if the library's whole path is needed."""
-        if self._word_ends:
-            word = piece.lstrip(" \n")
-            return word.lower() if word.isascii() and word.isalpha() else None
-        word = piece[1:] if piece[0] == " " else piece
-        return piece.encode().decode("latin-1").translate(self._bytes) if word.isalpha() else None
+        word = piece.lstrip(" \n") if self._word_ends else piece[1:] if piece[0] == " " else piece
+        if not word.isalpha() or self._word_ends and not _SIMPLE.fullmatch(word):
+            return None
+        return (word.lower() if self._word_ends else piece).encode().decode("latin-1").translate(self._bytes)
+
+    def _made(self, piece: str) -> bytes:
+        if plain := self._plain(piece):
+            ids = [t.id for t in self._model.tokenize(plain)]
+        elif (m := _LETTERS_THEN.fullmatch(piece)) and m[1].lower().strip(" \n").isalpha():
+            return self.piece(m[1]) + self.piece(m[2])
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _spaced(self, word: str) -> bytes:
+        return self._made(" " + word)
 
     def piece(self, piece: str) -> bytes:
         """Ids of one piece."""
-        out = self._new.get(piece)
-        if out is not None:
-            return out
-        out = self._old.get(piece)
-        if out is None:
-            if (m := _LETTERS_THEN.fullmatch(piece)) and m[1].lower().strip(" \n").isalpha():
-                return self.piece(m[1]) + self.piece(m[2])
-            elif plain := self._plain(piece):
-                out = np.asarray([t.id for t in self._model.tokenize(plain)], "<u4").tobytes()
-            else:
-                out = np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= _LONGEST:
-            if len(self._new) >= _CACHE:
-                self._old, self._new = self._new, {}
-            self._new[piece] = out
-        return out
+        if piece[0] == " " and piece[1:2] not in ("", " ", "\n"):
+            return self._words.get(piece[1:], self._spaced)
+        return self._others.get(piece, self._made)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and the word, which may hold line ends."""
+        return b"".join(map(self.piece, pieces(" " + word))) if "\n" in word else self._words.get(word, self._spaced)
 
     def ids(self, text: str) -> bytes:
         """The ids of a whole text, as bytes."""
-        if self._cut and self._cut.search(text):
+        if any(x in text for x in self._added):
             return b"".join(self._added.get(x) or self._between(x) for x in self._cut.split(text) if x)
         return self._between(text)
 
     def _between(self, text: str) -> bytes:
-        """The ids of a text without added tokens."""
-        parts = pieces(text)
-        found = list(map(self._new.get, parts))
-        if None in found:
-            one = self.piece
-            found = [one(p) if x is None else x for p, x in zip(parts, found)]
-        return b"".join(found)
+        """The ids of a text without added tokens.
+
+        Every single space between two other characters is a cut; a text with a word that is empty or
+        ends in white space (spaces in a row, at an end, or beside other white space) is cut by the rule.
+        """
+        first, *words = text.split(" ")
+        found = list(map(self._words.new.get, words))
+        new = [w for w, x in zip(words, found) if x is None]
+        if any(not w or w[-1].isspace() for w in (first, *new)):
+            return b"".join(map(self.piece, pieces(text)))
+        if new:
+            made = map(self._word, new)
+            found = [next(made) if x is None else x for x in found]
+        return b"".join([*map(self.piece, pieces(first)), *found])
 
 
 _loaded: dict[str, Encoder] = {}

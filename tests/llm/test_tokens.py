@@ -13,6 +13,8 @@ def test_ids_are_the_librarys(name):
     odd = "abZ 's\n\t \x1c1é́́!İΣ​.,²Ⅷ'"
     texts = ["", "  a  b ", "\n\n x\t y   z\x1c q́ ' s it's  \r\n don't <|endoftext|>b", "x" * 3000, " " * 50 + "a" + " " * 3, "'tis, it's!! (don't) e≮"]
     texts += ["".join(rng.choice(odd) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    letters = "aZéÉßÿÀœŒŁłİıĞſŉÑñ"
+    texts += [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) + rng.choice(["", ",", "'s", "\n", "."]) for _ in range(12)) for _ in range(1000)]
     e = encoder(P.path(name))
     for text, want in zip(texts, e.tokenizer.encode_batch(texts, add_special_tokens=False)):
         assert "".join(pieces(text)) == text
