@@ -108,6 +108,25 @@ def archive_records(spark, sf_dir):
     return found.select(F.concat_ws(":", "archive", "ordinal").alias("id"), "path").join(got, "id").drop("id")
 
 
+@query("archive_sorted", f"SELECT path, rank, title FROM {_RANKED} JOIN ({_DOCS}({_BASE}part)) d USING (k)")
+def archive_sorted(spark, sf_dir):
+    """Records from archives, in display order."""
+    from quire.sources import archive
+
+    return archive.records(spark, f"{_archives(spark, sf_dir)}/part-*").select("path", "rank", "title")
+
+
+@query("strict_json", """SELECT k, CASE WHEN k % 6 < 2 THEN concat('v', k) END AS name, CASE WHEN k % 6 = 0 THEN k WHEN k % 6 = 1 THEN NULL END AS n FROM (SELECT p_partkey AS k FROM part)""")
+def strict_json(spark, sf_dir):
+    """Members of JSON texts, of which some aren't JSON: content after the end, a bare constant, a trailing comma, an open end."""
+    from quire.sources import fetch
+
+    k = F.col("p_partkey")
+    good = F.concat(F.lit('{"a":[{"name":"v'), k, F.lit('"}],"n":'), F.when(k % 6 == 0, k.cast("string")).otherwise(F.concat(k, F.lit(".5"))), F.lit("}"))
+    text = F.when(k % 6 < 2, good).when(k % 6 == 2, F.concat(good, F.lit(" x"))).when(k % 6 == 3, F.lit('{"n":NaN}')).when(k % 6 == 4, F.lit('{"n":1,}')).otherwise(F.lit('{"n":'))
+    return fetch.members(table(spark, sf_dir, "part").select(k.alias("k"), text.alias("x")), "k", "x", {"name": ("a", 0, "name")}, {"n": ("n",)})
+
+
 @query("archive_skipped", "SELECT count_if(p_partkey % 9 < 2) AS by_path, count_if(p_partkey % 10 = 3) AS by_content FROM part")
 def archive_skipped(spark, sf_dir):
     from quire.sources import archive
