@@ -51,7 +51,7 @@ _SCRIPT_LETTERS = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{z:X}}}" for a, z in SCRIPTS
 #: Times that a map is applied at most to leave the other map's set: more than there are names in the tables.
 _ROUNDS = 64
 
-_WORD = r"\p{L}\p{N}._%+\-"
+_WORD = r"\p{L}\p{M}\p{N}._%+\-"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _KEY = r"""(?i:token|key|secret|password|passwd)["']?\s{0,3}[=:]\s{0,3}"""
 _NAME = r"\p{Lu}(?:['’]\p{Lu}|\p{L})\p{L}{0,30}(?:['’\-]\p{Lu}\p{L}{0,30}){0,3}"
@@ -59,7 +59,7 @@ _PARTICLE = r"(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|zu)"
 #: Kind and pattern, the first that matches wins.
 KINDS = (
     ("secret", rf'(?<={_KEY}")[^"\s]{{8,256}}(?=")|(?<={_KEY}["\']?)(?=[^\s"\',;]{{0,255}}\d)[^\s"\',;]{{8,256}}'),
-    ("email", rf"(?<![{_WORD}])[{_WORD}]{{1,64}}+@[\p{{L}}\p{{N}}\-]{{1,63}}(?:\.[\p{{L}}\p{{N}}\-]{{1,63}}){{0,8}}\.\p{{L}}{{2,24}}(?![\p{{L}}\p{{N}}])"),
+    ("email", rf"(?<![{_WORD}])[{_WORD}]{{1,64}}+@[\p{{L}}\p{{M}}\p{{N}}\-]{{1,63}}(?:\.[\p{{L}}\p{{M}}\p{{N}}\-]{{1,63}}){{0,8}}\.[\p{{L}}\p{{M}}]{{2,24}}(?![\p{{L}}\p{{N}}])"),
     ("phone", r"(?<![\p{L}\p{N}])(?=\+(?:[ .\-()]{0,2}\d){8})\+\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?){2,6}(?!\d)|(?<!\d)(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}(?!\d)"
               r"|(?<![\d.,/\-+])(?=\(?0(?:[ .\-/()]{0,2}\d){8})(?!(?:\d{4}[ \-]){3}\d{4}(?!\d)|\d{3}-\d{2}-\d{4}(?![\d\-])|\d{2}[.\-/]\d{2}[.\-/]\d{4}(?!\d))(?:\(0\d{1,4}\) ?|0\d{1,4}[ .\-/])\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)"),
     ("identity", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),

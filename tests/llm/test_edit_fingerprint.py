@@ -138,3 +138,17 @@ def test_counts_never_rule_out_a_near_pair():
         d = edit_distance(x, y, 1000)
         assert not apart(x, y, d) and np.abs(counted(x).astype(int) - counted(y)).sum() <= 8 * d
     assert apart(prose(rng, 60), prose(rng, 60), 10)
+
+
+def test_recall_of_the_query_on_all_documents(spark):
+    """Pairs found on the whole small table, against all pairs; the drawing may miss some, none may be wrong."""
+    from quire.llm.common import documents
+
+    df = documents(spark, "/root/testdata/sf0.001")
+    rows = {}
+    for r in df.orderBy("doc_id").collect():
+        rows.setdefault(r.text, r.doc_id)
+    rows = [(d, t) for t, d in rows.items() if t]
+    want = brute_pairs(sorted(rows), 0.1)
+    got = {tuple(r) for r in near_pairs(df).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)

@@ -44,3 +44,45 @@ def test_draw_is_by_text_and_bounded(spark):
     model = train(df, 100)
     got = {(r.lang, r.lang_pred) for r in identify(df, model).collect()}
     assert got == {("en", "en"), ("de", "de"), ("fr", "fr")}
+
+
+def plain_features(text):
+    """Feature counts of a text, a gram at a time in plain integers."""
+    import re
+
+    mask, out = (1 << 64) - 1, np.zeros(4096)
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        marked = [2, *map(ord, word), 3]
+        grams = [c * 2654435761 & mask for c in marked[1:-1]]
+        for n in (2, 3):
+            for k in range(len(marked) - n + 1):
+                h = n
+                for c in marked[k : k + n]:
+                    h = (h * 0x100000001B3 + c) & mask
+                grams.append(h * 0x9E3779B97F4A7C15 & mask)
+        for h in grams:
+            out[(h >> 17) % 4096] += 1
+    return out
+
+
+def test_predictions_recomputed(spark):
+    """Every prediction again from the machines: the family first, then its languages, by votes."""
+    df = documents(spark, "/root/testdata/sf0.001")
+    model = train(df.where("lang is not null").select("doc_id", "text", "lang"), 50)
+    for r in identify(df, model).collect():
+        x = plain_features(r.text or "")
+        if not x.sum():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        side = 1 / (1 + np.exp(-2 * np.clip(model.weights.astype(float) @ (x / x.sum()) + model.bias, -15, 15)))
+
+        def votes(names, machines):
+            return {n: sum(side[k] if n == a else 1 - side[k] for a, b, k in machines if n in (a, b)) for n in names}
+
+        families = votes(range(len(model.families)), model.between)
+        family = max(families, key=lambda n: (families[n], -n))
+        names = model.families[family]
+        inside = votes(names, [m for m in model.within if m[0] in names])
+        best = max(inside, key=lambda n: (inside[n], -names.index(n)))
+        share = lambda v, n: v / max(1, n - 1) if n > 1 else 1.0
+        assert r.lang_pred == best and abs(r.score - share(families[family], len(families)) * share(inside[best], len(names))) < 1e-3

@@ -34,3 +34,12 @@ def test_pack_against_brute_force(spark):
 
 def test_empty(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_very_long_text_at_the_default(spark):
+    text = "one two three, " * 40_000
+    got = pack(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"), P.path("byte_bpe_50k.json")).collect()
+    long = sorted((r.start, r.length) for r in got if r.doc_id == 1)
+    n = len(Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids) + 1
+    assert [a for a, _ in long] == np.cumsum([0, *(s for _, s in long[:-1])]).tolist() and sum(s for _, s in long) == n
+    assert [s for _, s in long] == piece_lengths(n, 2048) and max(r.length for r in got) == 2048

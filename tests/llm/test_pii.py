@@ -80,7 +80,7 @@ def test_against_brute_force(spark):
     got = surrogates(df, KEY, "n_entities").collect()
     assert [(r.doc_id, r.text, r.n_entities) for r in got] == [(d, *brute(t)) for d, t in ROWS]
     a, b = got[0].text.split(" or ")[0].split("to ")[1].rstrip(","), got[0].text.split(" or ")[1].split("!!")[0]
-    assert a.upper() == b and got[-3].text == f"Write to {a}"
+    assert a.upper() == b and next(r for r in got[1:] if r.doc_id == 1).text == f"Write to {a}"
     assert "John" not in got[7].text and got[7].text.split()[1] in MALE and collisions(df, KEY).count() == 0
     assert surrogates(df.where("false"), KEY).columns == df.columns and surrogates(df.where("false"), KEY).count() == 0
 

@@ -43,3 +43,12 @@ def test_store_against_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert token_store(df, P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_ties_and_repeated_rows(spark):
+    rows = [(7, "b b b"), (7, "a"), (7, "a"), (7, None), (7, "b b b"), (3, "same"), (3, "same"), (None, "n"), (None, "n")]
+    got = token_store(spark.createDataFrame(rows, "doc_id long, text string"), P.path("word_bpe_49k.json"), segment_ids=4).collect()
+    want = brute(rows)
+    got = sorted(map(tuple, got), key=lambda r: r[1])
+    assert [r[0] for r in got] == [r[0] for r in want] and sorted((r[0] or -1, *r[2:]) for r in got) == sorted((r[0] or -1, *r[2:]) for r in want)
+    assert [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got[:-1])]).tolist()
