@@ -94,15 +94,20 @@ def manifest_files(lines: DataFrame) -> DataFrame:
     return lines.select(F.get_json_object("line", "$.file").alias("relative"))
 
 
+def flagged(sides: dict[str, DataFrame]) -> DataFrame:
+    """(relative, a flag a side): every path with where it was met, by one partial aggregate."""
+    every = None
+    for name, df in sides.items():
+        part = df.select("relative", *[F.lit(n == name).alias(n) for n in sides])
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy("relative").agg(*[F.max(n).alias(n) for n in sides])
+
+
 def violations(sides: dict[str, DataFrame]) -> DataFrame:
     """(missing_in, relative) for each listing of paths that lacks one which the first listing has, and the reverse."""
-    (name, known), *others = sides.items()
-    out = None
-    for other, df in others:
-        a, b = known.select("relative").distinct(), df.select("relative").distinct()
-        both = a.join(b, "relative", "left_anti").select(F.lit(other).alias("missing_in"), "relative").unionByName(b.join(a, "relative", "left_anti").select(F.lit(f"{name} of {other}").alias("missing_in"), "relative"))
-        out = both if out is None else out.unionByName(both)
-    return out
+    known, *others = sides
+    wrong = [F.when(F.col(known) & ~F.col(o), F.lit(o)) for o in others] + [F.when(F.col(o) & ~F.col(known), F.lit(f"{known} of {o}")) for o in others]
+    return flagged(sides).select(F.explode(F.array_compact(F.array(*wrong))).alias("missing_in"), "relative")
 
 
 def target_of(instruction: Column) -> Column:
@@ -347,29 +352,21 @@ def faults(spark: SparkSession, root: str, placed: DataFrame) -> DataFrame:
     pdfs = named_in(lines, "pdf")
     folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
 
-    def sides(**rows: DataFrame) -> DataFrame:
-        """(relative, a flag a side): every path with where it was met, by one partial aggregate."""
-        every = None
-        for name, df in rows.items():
-            part = df.select("relative", *[F.lit(n == name).alias(n) for n in rows])
-            every = part if every is None else every.unionByName(part)
-        return every.groupBy("relative").agg(*[F.max(n).alias(n) for n in rows])
-
     def said(rows: DataFrame, checks: dict[str, Column], end: str = "") -> DataFrame:
         found = F.array_compact(F.array(*[F.when(c, F.concat(F.lit(f"{text}: "), F.col("relative"), F.lit(end))) for text, c in checks.items()]))
         return rows.select(F.explode(found).alias("message"))
 
     inside = links.where("relative is not null")
-    files = sides(placed=placed, disk=files_under(spark, root), linked=inside.where("file"), named=named_in(lines, "file").withColumnRenamed("value", "relative"))
+    files = flagged({"placed": placed, "disk": files_under(spark, root), "linked": inside.where("file"), "named": named_in(lines, "file").withColumnRenamed("value", "relative")})
     e, d, k, n = (F.col(c) for c in ("placed", "disk", "linked", "named"))
     out = said(files, {
         "document link points at nothing": k & ~d, "placed but not linked": e & ~(k & d), "linked but not placed": k & d & ~e, "orphan file in the package": d & ~e,
         "expected document missing": e & ~d, "not named in the manifest": e & ~n, "named in the manifest, not in the package": n & ~e,
     })
-    groups = sides(
-        inventory=placed.select(T.path_component(group_label()).alias("relative")), linked=inside.where("index").select(folder("relative").alias("relative")),
-        page=files_under(spark, root, GROUP_INDEX).select(folder("relative").alias("relative")),
-    )
+    groups = flagged({
+        "inventory": placed.select(T.path_component(group_label()).alias("relative")), "linked": inside.where("index").select(folder("relative").alias("relative")),
+        "page": files_under(spark, root, GROUP_INDEX).select(folder("relative").alias("relative")),
+    })
     g, k, page = (F.col(c) for c in ("inventory", "linked", "page"))
     out = out.unionByName(said(groups, {"group link points at no page": k & ~page}, f"/{GROUP_INDEX}"))
     out = out.unionByName(said(groups, {"group without a working link": g & ~(k & page), "link to a group that is not in the inventory": k & page & ~g}))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import search as S
 from quire.operators.ordering import global_index
+from quire.staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -325,7 +326,7 @@ def export_violations(spark, sf_dir):
     """A listing of the disk that lacks files and has strange ones, against the places."""
     from quire.operators import export as E
 
-    placed = _placed(spark, sf_dir)
+    placed = stage(_placed(spark, sf_dir), "placed")
     disk = placed.where("p_partkey % 50 <> 0").select("relative").unionByName(placed.where("p_partkey % 70 = 0").select(F.concat(F.lit("x/"), "p_partkey").alias("relative")))
     return E.violations({"placed": placed, "disk": disk})
 
