@@ -63,7 +63,7 @@ def _machine(x: np.ndarray, y: np.ndarray, rounds: int = 150, penalty: float = 1
     """A linear support vector machine (squared hinge), fitted by accelerated gradient descent. y: +1 or -1."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w, b, pw, pb = np.zeros(x.shape[1], np.float32), np.float32(0), np.zeros(x.shape[1], np.float32), np.float32(0)
-    step = np.float32(1.0 / (2 * float((weight[:, None] * x * x).sum()) + 2.0 + penalty))
+    step = np.float32(1.0 / (2 * float(np.einsum("i,ij,ij->", weight, x, x)) + 2.0 + penalty))
     for k in range(rounds):
         m = np.float32(k / (k + 3))
         vw, vb = w + m * (w - pw), b + m * (b - pb)
@@ -151,16 +151,22 @@ def train(labelled: DataFrame, per_language: int = 1500) -> Model | None:
     h = F.xxhash64("doc_id", "text")
     some = labelled.where(F.pmod(h, F.lit(1_000_000)) < F.least(F.lit(1.0), share * 2) * 1_000_000).select("lang", "text", h.alias("h"))
     once = some.groupBy("lang", "h").agg(F.first("text").alias("text"))
-    drawn = once.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("at") <= per_language).select("lang", "text")
+    drawn = once.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("at") <= per_language).select("lang", "text", "h")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [vector(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "v"])
-
-    rows = drawn.mapInArrow(vectors, "lang string, v binary").toArrow()
-    found = sorted(zip(rows.column("lang").to_pylist(), rows.column("v").to_pylist()))
-    return fit(np.frombuffer(b"".join(v for _, v in found), np.float32).reshape(-1, FEATURES), [k for k, _ in found])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "h", "v"])
+
+    rows = drawn.mapInArrow(vectors, "lang string, h long, v binary").toArrow()
+    # In one order whatever the partitions were; each vector is copied once, and the table goes before the fit.
+    langs, v = np.asarray(rows.column("lang").to_pylist(), object), rows.column("v")
+    order = np.lexsort((rows.column("h").to_numpy(), langs.astype(str)))
+    x = np.empty((len(langs), FEATURES), np.float32)
+    for i, k in enumerate(order.tolist()):
+        x[i] = np.frombuffer(v[k].as_buffer(), np.float32)
+    del rows, v
+    return fit(x, langs[order].tolist())
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
