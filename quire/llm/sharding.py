@@ -30,7 +30,7 @@ from quire.staging import new_path, stage
 
 
 #: Bytes of text to a file, about.
-FILE_BYTES = 256 << 20
+FILE_BYTES = 128 << 20
 
 
 def row_size() -> Column:
@@ -141,7 +141,7 @@ def reshard(docs: DataFrame, old: Column, shards: int, path: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # A task writes about FILE_BYTES of a shard, however many bytes there are.
     total = runs.agg(F.max("total")).first()[0] or 0
-    pieces = max(1, -(-total // (shards * FILE_BYTES)))
+    pieces = max(1, 2 * parts // shards, -(-total // (shards * FILE_BYTES)))
     salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(pieces))
     parts = max(parts, shards * pieces)
     moved = new.where(F.col("shard").isin(affected)).repartition(parts, "shard", salt).withColumn("folder", F.col("shard"))
