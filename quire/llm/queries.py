@@ -53,12 +53,6 @@ def op10_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(documents(spark, sf_dir).select("doc_id", "text", "source"), old)
 
 
-def edit_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs of operator 8: banding over the whole fingerprint walk, then edit distance."""
-    return edit_fingerprint.near_pairs(documents(spark, sf_dir))
-
-
-QUERIES |= {"edit_near_pairs": edit_near_pairs}
 QUERIES |= {"op3_language_id": op3_language_id, "op8_edit_fingerprint": op8_edit_fingerprint, "op10_reshard": op10_reshard}
 
 
