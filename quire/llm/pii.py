@@ -92,22 +92,34 @@ def _letter(code_point: Column) -> Column:
 
 
 def _moved(c: Column, draw: Column, must: Column, classes) -> Column:
-    """c moved inside its class by the number drawn; where `must`, never by nothing."""
-    out = c
-    if classes is CLASSES:
-        at = F.ascii(c).cast("long")
+    """c moved inside its class by the number drawn; where `must`, never by nothing.
+
+    The class is looked up, not tried in a branch of its own: with a branch each, the expression filled the driver's memory.
+    """
+    def shifted(at: Column, size: Column) -> Column:
+        shift = F.when(must, F.pmod(draw, size - 1) + 1).otherwise(F.pmod(draw, size))
+        return F.pmod(at + shift, size)
+
+    letters = "".join(classes)
+    # For each of the letters, the place where its class begins, from 1, and the size of that class, as characters.
+    begins = "".join(chr(1 + sum(map(len, classes[:k]))) * len(x) for k, x in enumerate(classes))
+    sizes = "".join(chr(len(x)) * len(x) for x in classes)
+
+    def lettered(at: Column) -> Column:
+        begin = F.ascii(F.substr(F.lit(begins), at, F.lit(1)))
+        size = F.ascii(F.substr(F.lit(sizes), at, F.lit(1))).cast("long")
+        new = F.substr(F.lit(letters), (shifted(at - begin, size) + begin).cast("int"), F.lit(1))
+        return F.when(c == F.lower(c), new).otherwise(F.upper(new))
+
+    def scripted(point: Column) -> Column:
+        block = F.lit(0)
         for a, z in SCRIPTS:
-            n = z - a + 1
-            shift = F.when(must, F.pmod(draw, F.lit(n - 1)) + 1).otherwise(F.pmod(draw, F.lit(n)))
-            out = F.when(at.between(a, z), _letter(F.pmod(at - a + shift, F.lit(n)) + a)).otherwise(out)
-    low = F.lower(c)
-    for letters in classes:
-        n = len(letters)
-        shift = F.when(must, F.pmod(draw, F.lit(n - 1)) + 1).otherwise(F.pmod(draw, F.lit(n)))
-        at = F.pmod(F.position(low, F.lit(letters)) - 1 + shift, F.lit(n)) + 1
-        new = F.substr(F.lit(letters), at.cast("int"), F.lit(1))
-        out = F.when(F.position(low, F.lit(letters)) > 0, F.when(c == low, new).otherwise(F.upper(new))).otherwise(out)
-    return out
+            block = F.when(point.between(a, z), F.lit(a << 16 | z - a + 1)).otherwise(block)
+        new = lambda a, n: _let(shifted(point - a, n) + a, _letter)
+        return _let(block.cast("long"), lambda b: F.when(b > 0, new(F.shiftright(b, 16), b.bitwiseAND(F.lit(65535)))).otherwise(c))
+
+    rest = _let(F.ascii(c).cast("long"), scripted) if classes is CLASSES else c
+    return _let(F.position(F.lower(c), F.lit(letters)), lambda at: F.when(at > 0, lettered(at)).otherwise(rest))
 
 
 def _spelled(text: Column, key: str, kind: str, classes=CLASSES) -> Column:
@@ -125,7 +137,7 @@ def _spelled(text: Column, key: str, kind: str, classes=CLASSES) -> Column:
 
 def _left(value: Column, body, taken) -> Column:
     """body applied to value, and again while the result is `taken`: one-to-one on values that aren't, if body is on all."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), body(value), lambda x, _: F.when(taken(x), body(x)).otherwise(x))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_ROUNDS)), value, lambda x, i: F.when((i == 0) | taken(x), body(x)).otherwise(x))
 
 
 def _octets(ip: Column, key: str) -> Column:
@@ -167,13 +179,13 @@ def kind_of(found: Column) -> Column:
 
 def surrogate(found: Column, key: str) -> Column:
     """The surrogate of one entity."""
-    kind, entity = kind_of(found), found["entity"]
+    entity = found["entity"]
     keep = lambda pattern: F.regexp_extract(entity, pattern, 1)
     rest = lambda pattern: F.regexp_extract(entity, pattern, 2)
     mail, dial = r"^(.*)(\.[^.]+)$", r"^(\+\d{1,3}(?=[ .\-(])|)(.*)$"
     hexed = (CLASSES[0], _HEX_LETTERS)
     is_hex = lambda x: x.rlike("^[0-9A-Fa-f]+$")
-    return (
+    return _let(kind_of(found), lambda kind: (
         F.when(kind == "email", F.concat(_spelled(keep(mail), key, "email"), rest(mail)))
         .when(kind == "phone", F.concat(keep(dial), _spelled(rest(dial), key, "phone")))
         .when(kind == "ip", _octets(entity, key))
@@ -181,7 +193,7 @@ def surrogate(found: Column, key: str) -> Column:
         .when((kind == "secret") & is_hex(entity), _spelled(entity, key, "secret", hexed))
         .when(kind == "secret", _left(entity, lambda x: _spelled(x, key, "number"), is_hex))
         .otherwise(_spelled(entity, key, "number"))
-    )
+    ))
 
 
 _FOUND = "array<struct<entity: string, secret: boolean>>"
